@@ -24,7 +24,7 @@ FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n(.*))?\z"
 def scan(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """path (below root), name, folder, mtime, size, content_hash, text: one row for each file."""
     root = root.rstrip("/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
     whole = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     path = F.element_at(F.split(whole, rf"\Q/{root.split('/')[-1]}/\E", 2), 2)
     rows = files.select(path.alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
@@ -52,8 +52,7 @@ def parse_yaml(block: str | None) -> tuple[str | None, str | None, str | None]:
     return dump(core), dump({k: v for k, v in found.items() if k not in CORE_NAMES}), None
 
 
-@F.pandas_udf("struct<core:string,extra:string,error:string>")
-def _front_matter(blocks: pd.Series) -> pd.DataFrame:
+def front_matter(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_yaml(x) for x in blocks], columns=["core", "extra", "error"])
 
 
@@ -63,7 +62,7 @@ def parse(files: DataFrame) -> DataFrame:
     A file without front matter, or with a malformed block, keeps its row: core columns null, `error` says why.
     """
     split = files.withColumn("front", F.when(F.col("text").rlike(FRONT), F.regexp_extract("text", FRONT, 1))).withColumn("body", F.when(F.col("front").isNotNull(), F.regexp_extract("text", FRONT, 2)).otherwise(F.col("text")))
-    parsed = split.withColumn("yaml", _front_matter("front")).withColumn("core", F.from_json("yaml.core", CORE))
+    parsed = split.withColumn("yaml", F.pandas_udf(front_matter, "struct<core:string,extra:string,error:string>")("front")).withColumn("core", F.from_json("yaml.core", CORE))
     lines = lambda x: F.size(F.split(x, r"\r?\n"))
     return parsed.select(
         "path", "name", "folder", "mtime", "size", "content_hash", *(F.col(f"core.{x}").alias(x) for x in CORE_NAMES if x not in ("tags", "aliases")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as Spark sees it, so that it may lie in any store."""
-    rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
     return rows[0][0] if rows else ""
 
 
