@@ -134,10 +134,11 @@ def vocabulary(lines: DataFrame, words: list[str]) -> DataFrame:
 
 
 def drift(notes: DataFrame, changelog: DataFrame) -> DataFrame:
-    """Dated requirements: absent in an older note is drift, in a newer one a defect."""
-    rows = notes.select("path", F.col("note_kind").alias("kind"), iso_date("created").alias("made")).join(changelog, "kind")
-    have = keys_of(notes).where(F.col("value").isNotNull() & ~F.col("value").isin("", "[]")).select("path", F.col("key").alias("requirement"))
-    gaps = rows.join(have, ["path", "requirement"], "left_anti")
+    """Dated field requirements: an absent key in an older note is drift, in a newer one a defect. A null is no absence;
+    requirements of another kind_of than `field` can't be seen in the front matter."""
+    fields = changelog.where(F.coalesce("kind_of", F.lit("field")) == "field")
+    rows = notes.select("path", F.col("note_kind").alias("kind"), iso_date("created").alias("made"), F.json_object_keys(F.to_json("extra")).alias("names")).join(fields, "kind")
+    gaps = rows.where(~F.coalesce(F.array_contains("names", F.col("requirement")), F.lit(False)))
     older = F.coalesce(F.col("made") < F.col("introduced"), F.lit(False))
     return issue(gaps.where(older), "schema-drift", "INFO", F.col("requirement")).unionByName(issue(gaps.where(~older), "requirement", "ERROR", F.col("requirement")))
 

@@ -20,9 +20,9 @@ def _load(text: str) -> dict:
     return yaml.safe_load(text) or {}
 
 
-def enums(spark: SparkSession, text: str) -> DataFrame:
+def enums(spark: SparkSession, text: str, key: str = "note_kinds") -> DataFrame:
     """kind, field, value; anchors and aliases are resolved by the YAML parser. Entries that aren't lists are skipped."""
-    rows = [(kind, name, str(value)) for kind, fields in _load(text).items() if isinstance(fields, dict) for name, values in fields.items() if isinstance(values, list) for value in values]
+    rows = [(kind, name, str(value)) for kind, fields in (_load(text).get(key) or {}).items() if isinstance(fields, dict) for name, values in fields.items() if isinstance(values, list) for value in values]
     return spark.createDataFrame(rows, "kind string, field string, value string")
 
 
