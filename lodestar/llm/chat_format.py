@@ -49,12 +49,20 @@ class TokenRates:
 
 @dataclass
 class PartVisitor:
-    """Flattens the parts of a conversation's messages; numbers go on from message to message."""
+    """Flattens the parts of a conversation's messages; numbers go on from message to message.
+
+    attachments holds those of the latest message only, so that a conversation of any length needs little memory.
+    """
 
     rates: TokenRates = field(default_factory=TokenRates)
     attachments: list[dict] = field(default_factory=list)
+    count: int = 0
     tokens: int = 0
 
+    def message(self, parts: list[dict] | None) -> str:
+        self.attachments = []
+        return "".join(map(self.visit, parts or ()))
+
     def visit(self, part: dict) -> str:
         return getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_unknown)(part)
 
@@ -75,7 +83,7 @@ class PartVisitor:
         return escape(part.get("text") or "")
 
     def attach(self, part: dict, tokens: int) -> str:
-        number = len(self.attachments)
+        number, self.count = self.count, self.count + 1
         self.attachments.append({"number": number, "kind": part["kind"], "ref": part.get("ref"), "tokens": tokens})
         self.tokens += tokens
         return f"<{part['kind']}:{number}>"
@@ -116,9 +124,7 @@ def _walk(batches: Iterator[pa.RecordBatch], rates: TokenRates) -> Iterator[tupl
             begins = conv != now
             if begins:
                 now, visitor, position = conv, PartVisitor(rates), 0
-            before = len(visitor.attachments)
-            text = format_turn(role, "".join(map(visitor.visit, parts or ())))
-            yield conv, turn, position, begins, role, text, visitor, before
+            yield conv, turn, position, begins, role, format_turn(role, visitor.message(parts)), visitor
             position += 1
 
 
@@ -134,9 +140,9 @@ def format_turns(messages: DataFrame, learn: tuple[str, ...] = ("assistant",), r
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for conv, turn, position, _, role, text, visitor, before in _walk(batches, rates):
+        for conv, turn, position, _, role, text, visitor in _walk(batches, rates):
             a, b = next((a, b) for _, _, a, b in read_turns(text))
-            rows.append((conv, turn, position, role, text, *((a, b) if role in learn else (None, None)), visitor.attachments[before:]))
+            rows.append((conv, turn, position, role, text, *((a, b) if role in learn else (None, None)), visitor.attachments))
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
                 rows = []
@@ -157,9 +163,9 @@ def conversation_digests(messages: DataFrame, learn: tuple[str, ...] = ("assista
 
         def close() -> None:
             conv, n, turns, loss_n, loss, chars, visitor = state
-            done.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, len(visitor.attachments), visitor.tokens))
+            done.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, visitor.count, visitor.tokens))
 
-        for conv, _, _, begins, _, formatted, visitor, _ in _walk(batches, rates):
+        for conv, _, _, begins, _, formatted, visitor in _walk(batches, rates):
             if begins:
                 if state:
                     close()

@@ -43,8 +43,9 @@ BOILER_MARK = re.compile(
     r"comments?|reply|replies|respond|discuss\w*|disqus|search\w*|skip|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])"
 )
 #: Words in the document before any page is counted: inside and outside of articles, by kind of element.
-PRIOR = {"boiler": (0.5, 30.0), "link": (3.0, 6.0), "text": (20.0, 5.0), "other": (6.0, 6.0)}
-MOST_WEIGHT, TAG_PRIOR = 4.0, 0.3
+PRIOR = {"boiler": (0.5, 30.0), "link": (3.0, 6.0), "text": (20.0, 5.0), "other": (6.0, 5.0)}
+#: Boilerplate elements are left out of a region, so they count little against going on behind them.
+MOST_WEIGHT, TAG_PRIOR, LEFT_OUT = 4.0, 0.3, 0.25
 KNOWN = INLINE | BOILER | VOID | set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address center details summary".split()
 )
@@ -154,7 +155,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     parts = segments(page)
-    scores = [weights.tag(x.key) if x.text is None else weights.word(x.key) * len(x.text.split()) for x in parts]
+    scores = [(weights.tag(x.key) if x.text is None else weights.word(x.key) * len(x.text.split())) * (LEFT_OUT if x.boiler else 1) for x in parts]
     a, b = best_region(scores)
     blocks, now = [], []
     for x in parts[a:b]:
