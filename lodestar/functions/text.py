@@ -40,7 +40,8 @@ def whole_word(term: str) -> str:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits. No lemmas: none can be had offline."""
-    return F.filter(F.split(F.lower(_column(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    # without a lambda the expression is compiled, and shared by all that a query derives from it
+    return F.array_remove(F.split(F.lower(_column(text)), r"[^\p{L}\p{N}]+"), "")
 
 
 def byte_length(text: Column | str) -> Column:

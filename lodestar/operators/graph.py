@@ -131,13 +131,16 @@ def text_mentions(lines: DataFrame, terms: DataFrame, links: DataFrame | None =
     """Plain-text mentions: keys, target, term. lines: keys, text. terms: target, term. links: keys, target, left out.
 
     A theta join would compare every line with every term. Here both meet on the term's first word, which each line has
-    once for each distinct word; the whole term is verified afterwards, between non-letters, in any script.
+    once for each distinct word. A term of one word is found by that; longer ones are verified in their line, as literal
+    text between non-letters, in any script. Lines' texts don't travel with their words.
     """
     keys = keys or ["path", "line"]
-    words = lines.select(*keys, "text", F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    first = terms.withColumn("word", F.element_at(tokens("term"), 1)).where("word is not null")
+    words = lines.select(*keys, F.explode(F.array_distinct(tokens("text"))).alias("word"))
+    first = terms.withColumn("word", F.element_at(tokens("term"), 1)).where("word is not null").withColumn("single", F.lower("term") == F.col("word"))
+    met = words.join(first, "word").select(*keys, "target", "term", "single")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.regexp_replace("term", r"\\E", ""), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    found = words.join(first, "word").where(F.rlike("text", pattern)).select(*keys, "target", "term").distinct()
+    longer = met.where("not single").join(lines.select(*keys, "text"), keys).where(F.rlike("text", pattern))
+    found = met.where("single").select(*keys, "target", "term").unionByName(longer.select(*keys, "target", "term")).distinct()
     return found.join(links.select(*keys, "target"), [*keys, "target"], "left_anti") if links is not None else found
 
 

@@ -25,7 +25,7 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     Term counts, lengths and document frequencies come from one scan: lengths and frequencies are sums over it.
     """
     terms = list(dict.fromkeys(x.lower() for x in terms))
-    count = lambda term: F.size(F.filter("__t", lambda x: x == F.lit(term)))
+    count = lambda term: F.size("__t") - F.size(F.array_remove("__t", term))
     counted = docs.select(key, tokens(text).alias("__t")).select(key, F.size("__t").alias("length"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
     n = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     # the statistics are one row
