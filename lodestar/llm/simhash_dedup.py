@@ -5,6 +5,9 @@ or differ in at most one bit of the high segment. So each distinct fingerprint l
 around its high segment and its low segment itself, and complete distances are verified. A segment value that very many
 fingerprints share is not expanded to pairs: there the ball in the other segment is enumerated too, up to the distance
 that is left, and whole fingerprints are looked up, which bounds the work for each fingerprint.
+
+simhash_groups links at a Hamming distance; simhash_dedup, for filtering, at a similarity of word shingles: 64 bits differ in
+some five places for texts that are 0.9 alike, so it has wider fingerprints in more segments, and an exact check.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-from xxhash import xxh64_intdigest
+from pyspark.sql.types import BinaryType, StructField, StructType
+from xxhash import xxh64_intdigest, xxh128_digest
 
-from lodestar.llm.common import raw, slices, written
+from lodestar.llm.common import mix64, raw, slices, written
 from lodestar.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -111,31 +114,121 @@ def simhash_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest doc_id stays, whole, with all columns of docs.
+# ---- near duplicates by similarity: wider fingerprints, the same lookup, and an exact check behind it
+
+#: Word shingles and their Jaccard similarity from which two texts are near duplicates.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of a wide fingerprint, words of its features, and the share of bits in which near duplicates may differ.
+WIDE_BITS, FEATURE, MOST_DIFFERENT = 256, 2, 0.2
+_LANES = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_set(text: bytes, width: int = NEAR_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, hashed; a shorter text is one shingle."""
+    h = _word_hashes(text.lower().split())
+    if len(h) <= width:
+        width = len(h)
+    if not width:
+        return np.zeros(1, np.int64)
+    own = np.zeros(len(h) - width + 1, np.uint64)
+    for k in range(width):
+        own = mix64(own ^ h[k : k + len(own)]) + np.uint64(k)
+    return np.unique(own).view(np.int64)
+
+
+def segments(text: bytes, bits: int) -> list[int]:
+    """A text's wide fingerprint over FEATURE-word shingles, cut in segments of `bits` bits."""
+    h = _word_hashes(text.lower().split())
+    if len(h) >= FEATURE:
+        h = mix64(h[:-1]) + h[1:]
+    ones = [np.unpackbits(mix64(h + lane).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for lane in _LANES]
+    flags = 2 * np.concatenate(ones) > len(h)
+    used = WIDE_BITS // bits * bits
+    return (flags[:used].reshape(-1, bits).astype(np.int64) << np.arange(bits)).sum(axis=1).tolist()
+
+
+def segment_bits(n: int) -> int:
+    """Bits with which a segment's value is shared by few texts by chance: the more documents, the more."""
+    return min(max(16, n.bit_length() + 6), 42)
+
 
-    Of repeated rows with that doc_id one stays, of a group without any doc_id one row.
+def text_key(text: bytes) -> bytes:
+    """Equal for texts of the same words, but for case and white space."""
+    return xxh128_digest(b" ".join(text.lower().split()))
+
+
+def near_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """nodes: node, segs. Candidate pairs a < b: a segment of one is in the ball of radius one around the other's, and the
+    complete distance is small. In a segment value each text meets its least holder only, so a group of copies makes as
+    many pairs as it has texts, not all of them; the other segments give texts whose holder is a stranger further chances."""
+    own = nodes.select("node", F.posexplode("segs").alias("table", "key"))
+    holder = own.groupBy("table", "key").agg(F.min("node").alias("holder"))
+    ones = F.array(*(F.lit(1 << k).cast("long") for k in range(bits)))
+    ball = F.concat(F.array("key"), F.transform(F.filter(ones, lambda m: F.col("key").bitwiseAND(m) == 0), lambda m: F.col("key").bitwiseOR(m)))
+    probes = own.select("node", "table", F.explode(ball).alias("key"))
+    met = probes.join(holder, ["table", "key"]).where("node != holder").select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("segs").alias(f"segs_{name}"))
+    distance = F.aggregate(F.zip_with("segs_a", "segs_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return met.join(side("a"), "a").join(side("b"), "b").where(distance <= int(WIDE_BITS // bits * bits * MOST_DIFFERENT)).select("a", "b")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, key, component_id for each row of docs: texts of equal words, and texts whose `width`-word shingles are
+    `similarity` alike, are one group; component_id is its smallest doc_id.
+
+    A class of equal texts without any doc_id has a null component_id and is linked to nothing else. Null text: no words.
     """
-    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"))
-    groups = simhash_groups(docs)
+    bits = segment_bits(docs.count())
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 8 << 20):
+                texts = batch.column("text").to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(text_key, texts), pa.binary()), pa.array([segments(x, bits) for x in texts], pa.list_(pa.int64()))], names=["doc_id", "key", "segs"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 8 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "own"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text"))
+    rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, segs array<long>"))
+    classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("segs").alias("segs"))
+    pairs = written(near_links(classes.groupBy("node").agg(F.first("segs").alias("segs")), bits))
+    # the exact check: shingles of the texts that are in a pair
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shingles = written(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
+    side = lambda name: shingles.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
+    roots = components(alike)
+    table = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "key").join(table, "key", "left").select("doc_id", "key", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays, whole, with
+    all columns of docs. Of rows that repeat that doc_id one stays; of texts without any doc_id one row each."""
+    groups = written(near_groups(docs, similarity))
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = keyed.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    # rows that repeat a kept doc_id, and rows without any, are few: only these are compared
-    nameless = docs.where("doc_id is null")
-    out = named.dropDuplicates(["doc_id"]).drop("__text")
-    alone = groups.where("component_id is null").select("fingerprint").distinct()
-    lone = fingerprinted(nameless).join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*docs.columns)
-    return out.unionByName(lone)
+    named = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    # rows without doc_id are looked at by text
+    lone = groups.where("component_id is null").select(F.col("key").alias("__lone")).distinct()
+    nameless = keyed(docs.where("doc_id is null")).join(lone, F.col("__key") == F.col("__lone"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return named.unionByName(nameless)
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """docs with their fingerprint, for the rows that have no doc_id to join by."""
-    schema = pa.string()
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with their texts' keys, for the rows that have no doc_id to join by."""
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.names.index("text"))
-            fps = pa.array([format(fingerprint((x or "").encode()), "016x") for x in text.to_pylist()], schema)
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "fingerprint"])
+            keys = pa.array([text_key((x or "").encode()) for x in batch.column(where).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fingerprint", StringType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__key", BinaryType())]))

@@ -289,8 +289,44 @@ def test_simhash(docs, empty):
     want = Counter((i, format(x, "016x"), least.get(roots[x])) for i, x in fps)
     assert by_row(SH.simhash_groups(docs).collect(), "fingerprint", "component_id") == want
     assert SH.simhash_groups(empty).count() == 0
-    kept = SH.simhash_dedup(docs)
-    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(set(least.values()))
+
+
+def jaccard(a, b, width=5):
+    cut = lambda t: {tuple(w[k : k + width]) for w in [WORD.findall(t.lower())] for k in range(max(1, len(w) - width + 1))}
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup(spark, docs, empty):
+    """Near copies at 0.8 and above go, one of each group stays, texts below stay, whatever a row lacks."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(60):
+        words = [f"{'abcdefgh'[int(x) % 8]}{x}" for x in rng.integers(0, 400, 150)]
+        rows.append((100 * g, " ".join(words), "s"))
+        for k in range(int(rng.integers(0, 12))):
+            copy = list(words)
+            for at in rng.choice(150, int(rng.integers(1, 4)), replace=False):
+                copy[int(at)] = f"new{g}x{k}x{at}"
+            rows.append((100 * g + k + 1, " ".join(copy), "s"))
+        half = words[:75] + [f"other{g}x{k}" for k in range(75)]
+        rows.append((100 * g + 50, " ".join(half), "s"))
+    first = {i // 100: t for i, t, _ in rows if i % 100 == 0}
+    assert all(jaccard(first[i // 100], t) >= 0.8 for i, t, _ in rows if i % 100 < 50)
+    out = SH.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+    kept = Counter(r.doc_id for r in out.collect())
+    assert out.columns == ["doc_id", "text", "key"] and max(kept.values()) == 1
+    assert {100 * g for g in range(60)} | {100 * g + 50 for g in range(60)} == set(kept)
+    odd = SH.simhash_dedup(docs)
+    assert odd.columns == docs.columns and SH.simhash_dedup(empty).count() == 0
+    # 3 adds a word to 1 and 2; 7, 8, 9 have no word; the row without doc_id and text joins them
+    assert Counter(r.doc_id for r in odd.collect()) == Counter(set(range(1, 20)) - {2, 3, 8, 9})
+
+
+def test_nameless_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "a  B c d e f"), (None, None), (4, "x y"), (None, "X y"), (4, "x y")]
+    out = SH.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in out) == [(0, []), (0, list("abcdef")), (4, ["x", "y"])]
 
 
 @pytest.mark.parametrize("hot", [1, 3, 10_000])

@@ -6,7 +6,7 @@ import corpus_pipeline
 from lodestar.llm import queries
 from lodestar.llm.quality_rules import measure
 from lodestar.llm.secret_scan import secret_spans
-from lodestar.llm.simhash_dedup import simhash_groups
+from lodestar.llm.simhash_dedup import near_groups
 
 
 def documents(spark):
@@ -27,7 +27,7 @@ def test_stages(spark):
         if name == "quality":
             assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect() if measure((r.text or "").encode())[0] >= 10)
         if name == "near_dedup":
-            groups = {r.component_id for r in simhash_groups(before).collect()}
+            groups = {r.component_id for r in near_groups(before).collect()}
             assert Counter(r.doc_id for r in rows) == Counter(groups)
         if name == "secrets":
             assert len(rows) == before.count() and not any(secret_spans(r.text.encode())[1] for r in rows)
