@@ -42,6 +42,8 @@ BOILER_MARK = re.compile(
     r"signup|login|social|share|sharing|related|recommend\w*|sidebars?|widgets?|menus?|nav\w*|breadcrumbs?|toc|pager|pagination|footer|masthead|"
     r"comments?|reply|replies|respond|discuss\w*|disqus|search\w*|skip|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])"
 )
+#: Marks that tell of the page's layout, not of what an element is.
+LAYOUT_MARK = re.compile(r"(?i)(?:^|(?<=\s))(?:with|has|no|without)[_-][\w-]+")
 #: Words in the document before any page is counted: inside and outside of articles, by kind of element.
 PRIOR = {"boiler": (0.5, 30.0), "link": (3.0, 6.0), "text": (20.0, 5.0), "other": (6.0, 5.0)}
 #: Boilerplate elements are left out of a region, so they count little against going on behind them.
@@ -96,13 +98,15 @@ def segments(page: str) -> list[Segment]:
                 del stack[k:]
                 boiler, inside = stack[-1][1:] if stack else (False, False)
         marked = [a or b or c for a, b, c in MARKS.findall(token)] if "=" in token else []
-        own = name in BOILER or name in BOILER_OUTSIDE and not inside or name not in ("html", "body", "main", "article") and any(BOILER_MARK.search(x) for x in marked)
-        out.append(Segment(None, known, inside or name == "article", name not in INLINE, boiler or own))
+        own = name in BOILER or name in BOILER_OUTSIDE and not inside or name not in ("html", "body", "main") and any(BOILER_MARK.search(LAYOUT_MARK.sub(" ", x)) for x in marked)
+        # an article inside of comments or teasers, or marked as one, is none
+        within = inside or name == "article" and not own and not boiler
+        out.append(Segment(None, known, within, name not in INLINE, boiler or own))
         if name in RAW:
             closing = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = closing.end() if closing else end
         elif name not in VOID and not token.endswith("/>"):
-            boiler, inside = boiler or own, inside or name == "article"
+            boiler, inside = boiler or own, within
             stack.append((name, boiler, inside))
     return out
 

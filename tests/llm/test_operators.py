@@ -471,6 +471,7 @@ PAGES = [
     (page("<article><p>One two three, and some more.</p><aside>skip me</aside><form><p>Name</p><input name=x></form><p>Four five.</p><ul><li>six</li></ul></article>"), "One two three, and some more. Four five. six"),
     (page("<article><p>Cut in the mid &am"), "Cut in the mid &am"),
     (page("<article><p>1 < 2 and <a href=\"/a>b\">a link</a>, x&lt;y</p></article><div class='cookie-notice'>We use cookies</div>"), "1 < 2 and a link, x<y"),
+    (page("<div class='page with-sidebar'><article><h2>A title here</h2><p>Body words of the article follow.</p></article><section class='comments'><article><p>Nice one, thanks a lot.</p></article></section><article class='teaser promo'>Buy more of it</article></div>"), "A title here Body words of the article follow."),
     ("", ""), (None, ""), (page("<nav>only menu words</nav>"), ""), ("plain words without markup", "plain words without markup"),
 ]
 
