@@ -1 +1 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, beside their SQL."""

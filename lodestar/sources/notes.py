@@ -72,6 +72,12 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
+def nearest_above(rows: DataFrame, keys: list[str], order: str, heading: Column, name: str) -> DataFrame:
+    """rows with the nearest non-null `heading` at or above each, within keys."""
+    above = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last(heading, ignorenulls=True).over(above))
+
+
 def note_lines(notes: DataFrame) -> DataFrame:
     """path, line (from 1, front matter included), text, in_frontmatter, in_fence, is_heading, section_path.
 

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestar.plans.catalog import ORACLE_SQL, QUERIES
+from lodestar.plans.registry import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
