@@ -97,7 +97,10 @@ def requirement_gaps(records: DataFrame, requirements: DataFrame, present: Colum
 
 
 def latest(rows: DataFrame, keys: list[str], ts: str, tie: list[str]) -> DataFrame:
-    """The row with the greatest ts of each key; the earliest in order of `tie` wins among equals."""
+    """The row with the greatest ts of each key; the earliest in order of `tie` wins among equals.
+
+    Spark limits each task's rows of a key to the first before it shuffles them (WindowGroupLimit), so hot keys stay small.
+    """
     by = Window.partitionBy(*keys).orderBy(F.col(ts).desc_nulls_last(), *tie)
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
@@ -112,9 +115,28 @@ def last_of(rows: DataFrame, columns: list[str], name: str = "last") -> DataFram
 
 
 def pristine(rows: DataFrame, key: str, order: list[str], fixed: Column) -> DataFrame:
-    """`pristine`: no earlier row of the same key was a fix."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("pristine", ~F.coalesce(F.max(fixed).over(before), F.lit(False)))
+    """`pristine`: no earlier row of the same key was a fix. Equal orders aren't earlier.
+
+    The first fix of each key is a pre-aggregated minimum that joins back, so a key with a third of all rows is neither
+    sorted nor held in one task, as it would be by a running maximum.
+    """
+    first = rows.where(fixed).groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
+    joined = rows.join(first.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("pristine", F.col("__first").isNull() | (F.struct(*order) <= F.col("__first"))).drop("__key", "__first")
+
+
+def followers(rows: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+    """key, source, target: each value with the next one of its key.
+
+    Rows are followed within (key, bucket), where the bucket is a coarse prefix of the order, such as a day; only the first
+    row of each bucket is looked at across buckets. A key with very many rows is so sorted in as many tasks as it has buckets.
+    """
+    own = rows.select(F.col(key), F.struct(*order).alias("__at"), F.col(value).alias("source"), bucket.alias("__bucket"))
+    inside = own.withColumn("__next", F.lead("source").over(Window.partitionBy(key, "__bucket").orderBy("__at")))
+    firsts = own.groupBy(key, "__bucket").agg(F.min(F.struct("__at", "source"))["source"].alias("__first"))
+    after = firsts.select(F.col(key).alias("__key"), F.col("__bucket").alias("__b"), F.lead("__first").over(Window.partitionBy(key).orderBy("__bucket")).alias("__after"))
+    joined = inside.join(after, F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__b")))
+    return joined.select(key, "source", F.coalesce("__next", "__after").alias("target")).where("target is not null")
 
 
 def suppress_repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -129,10 +129,7 @@ def duplicate_refs(spark, sf_dir):
 
 def transitions(spark, sf_dir):
     """Consecutive event types of a user, as edges."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("source"), F.lead("event_type").over(by).alias("target")).where("target is not null")
+    return A.followers(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
 
 
 _EDGES = "SELECT DISTINCT user_id, event_type AS source, target FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE target IS NOT NULL AND target <> event_type"

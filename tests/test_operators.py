@@ -66,6 +66,27 @@ def test_pristine_and_runway(spark):
     assert tuple(A.runway_summary(A.cell_means(rows, ["note"], "ts")).first()) == (2, 0, 6)
 
 
+def test_followers(spark):
+    rows = spark.createDataFrame([("u", k, "abcab"[k % 5]) for k in range(23)] + [("v", 1, "x"), (None, 1, "y"), (None, 9, "z")], "who string, at int, kind string")
+    got = sorted((x.who or "", x.source, x.target) for x in A.followers(rows, "who", ["at"], "kind", F.floor(F.col("at") / 4)).collect())
+    assert got == sorted([("u", "abcab"[k % 5], "abcab"[(k + 1) % 5]) for k in range(22)] + [("", "y", "z")])
+
+
+def test_hot_keys_are_limited_before_the_shuffle(spark):
+    plan = A.latest(spark.range(10).selectExpr("id % 2 as k", "id as ts"), ["k"], "ts", ["ts"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_cast_mirror_and_thumbnails(spark):
+    featured = edges(spark, ("C1", "T"), ("C2", "T"))
+    links = spark.createDataFrame([("T.md", "T / Cast", "C1"), ("T.md", "T / Cast", "C3"), ("T.md", "T", "C2")], "path string, section_path string, target string")
+    names = spark.createDataFrame([("T.md", "T")], "path string, name string")
+    assert {tuple(x) for x in G.cast_mirror(featured, links, names, "Cast").collect()} == {("T", "C2", "cast section"), ("T", "C3", "featured list")}
+    gallery = spark.createDataFrame([("g.md", 1, "A", "a.png", 80), ("g.md", 2, "A", "other.png", 80), ("g.md", 3, "B", "b.png", None), ("g.md", 4, "B", "b.png", 60)], "path string, line int, target string, file string, width int")
+    notes = spark.createDataFrame([("A", "work", "attachments/a.png"), ("B", "person", "b.png"), ("N", "work", None)], "name string, note_kind string, cover_path string")
+    assert {x.line for x in G.missing_thumbnails(gallery, notes, F.col("cover_path"), {"work": 80}, 60).collect()} == {2, 3}
+
+
 def test_under_tag_modes(spark):
     members = spark.createDataFrame([("f", x) for x in "abcde"], "facet string, member string")
     tags = spark.createDataFrame([(x, "t") for x in "abcd"] + [("a", "u")], "member string, tag string")
