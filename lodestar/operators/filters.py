@@ -50,9 +50,10 @@ def query(
         where.append(F.col(path_column).startswith(folder))
     if has_field:
         where.append(nested(has_field, "variant", record, columns).isNotNull())
-    where += [nested(k, "string", record, columns) == str(v) for k, v in (field_equals or {}).items()]
-    where += [nested(k, "double", record, columns) >= float(v) for k, v in (field_gte or {}).items()]
-    where += [nested(k, "string", record, columns).isin(*map(str, v)) for k, v in (field_in or {}).items()]
+    # a typed column is compared as it is, so that the condition reaches the scan
+    where += [F.col(k) == v if k in columns else nested(k, "string", record, columns) == str(v) for k, v in (field_equals or {}).items()]
+    where += [F.col(k) >= v if k in columns else nested(k, "double", record, columns) >= float(v) for k, v in (field_gte or {}).items()]
+    where += [F.col(k).isin(*v) if k in columns else nested(k, "string", record, columns).isin(*map(str, v)) for k, v in (field_in or {}).items()]
     if quality_gate:
         where.append(F.col("quality") == quality_gate)
     if note_kind_required:

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def between(column: str, first: str, after: str):
-    return (F.col(column) >= F.lit(first).cast("timestamp")) & (F.col(column) < F.lit(after).cast("timestamp"))
+    return (F.col(column) >= F.lit(first).cast("timestamp_ntz")) & (F.col(column) < F.lit(after).cast("timestamp_ntz"))
 
 
 # ---- filters and projections
@@ -248,7 +248,7 @@ def ghost_noncanon_singleton(spark, sf_dir):
 def under_tag_majority(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     members = events.select((F.col("user_id") % 10).alias("facet"), F.col("user_id").alias("member")).distinct()
-    tags = events.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp")).select(F.col("user_id").alias("member"), F.col("event_type").alias("tag")).distinct()
+    tags = events.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")).select(F.col("user_id").alias("member"), F.col("event_type").alias("tag")).distinct()
     return A.under_tagged(members, tags)
 
 
@@ -299,7 +299,7 @@ def coverage_totals(spark, sf_dir):
 def spec_drift(spark, sf_dir):
     first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created"))
     records = table(spark, sf_dir, "customer").join(first, F.col("o_custkey") == F.col("c_custkey"), "left").withColumnRenamed("c_mktsegment", "kind")
-    wanted = spark.createDataFrame([(k, "balance", "1995-07-01") for k in ("BUILDING", "MACHINERY", "HOUSEHOLD")], "kind string, requirement string, introduced string").withColumn("introduced", F.to_timestamp("introduced"))
+    wanted = spark.createDataFrame([(k, "balance", "1995-07-01") for k in ("BUILDING", "MACHINERY", "HOUSEHOLD")], "kind string, requirement string, introduced string").withColumn("introduced", F.to_timestamp_ntz("introduced"))
     return A.requirement_gaps(records, wanted, F.col("c_acctbal") >= 0)
 
 
@@ -337,7 +337,7 @@ def coverage_join(spark, sf_dir):
 @registered("""SELECT c_custkey AS path, last, CASE WHEN last IS NULL THEN 1 ELSE 0 END AS tier FROM customer
     LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) ON o_custkey = c_custkey""")
 def tiered_order(spark, sf_dir):
-    last = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp")).groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    last = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
     cards = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("created")).join(last, F.col("path") == F.col("o_custkey"), "left")
     return cards.orderBy(*A.card_order(cards)).select("path", "last", A.card_tier("last").alias("tier"))
 

@@ -74,7 +74,7 @@ def backlinks_by_prefix(spark, sf_dir):
     FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate < TIMESTAMP '1996-01-01' AND CAST(l_quantity AS INTEGER) <> CASE WHEN p_size > 25 THEN 40 ELSE 10 END""")
 def thumbnail_widths(spark, sf_dir):
     """Gallery bullets with another width than the target's kind asks for."""
-    gallery = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")).select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("target"), F.col("l_quantity").cast("int").alias("width"))
+    gallery = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("target"), F.col("l_quantity").cast("int").alias("width"))
     notes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("note_kind"), "p_brand")
     files = notes.select(F.col("name").alias("target"), F.col("p_brand").alias("file"))
     return G.missing_thumbnails(gallery.join(files, "target"), notes, F.col("p_brand"), {"large": 40}, 10)
@@ -175,7 +175,7 @@ def under_tag_any_members(spark, sf_dir):
     """The looser mode, and who lacks each tag."""
     events = table(spark, sf_dir, "events")
     members = events.select((F.col("user_id") % 10).alias("facet"), F.col("user_id").alias("member")).distinct()
-    tags = events.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp")).select(F.col("user_id").alias("member"), F.col("event_type").alias("tag")).distinct()
+    tags = events.where(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")).select(F.col("user_id").alias("member"), F.col("event_type").alias("tag")).distinct()
     return A.under_tagged_members(members, tags, A.under_tagged(members, tags, mode="any"))
 
 
