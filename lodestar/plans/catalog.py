@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.layout import spread
 from lodestar.functions.text import tokens
 from lodestar.operators import aggregates as A
 from lodestar.operators import filters as P
@@ -217,7 +218,7 @@ def first_occurrence(spark, sf_dir):
     SELECT doc_id, term FROM t JOIN w USING (term) WHERE length(term) >= 9""")
 def text_mentions(spark, sf_dir):
     terms = table(spark, sf_dir, "benchmark").select(F.explode(tokens("text")).alias("term")).where("length(term) >= 9").distinct().withColumn("target", F.col("term"))
-    return G.text_mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, keys=["doc_id"]).select("doc_id", "term")
+    return G.text_mentions(texts(spark, sf_dir), terms, keys=["doc_id"]).select("doc_id", "term")
 
 
 # ---- aggregates
@@ -481,7 +482,7 @@ TERMS = ["the", "oner"]
 
 
 def texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
 
 
 @registered(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 12")

@@ -128,3 +128,13 @@ def test_streams(spark, tmp_path):
     got = []
     run_batches(note_stream(spark, str(notes)), lambda df: got.extend(df.select("text").collect()), str(tmp_path / "c2")).awaitTermination()
     assert [x.text for x in got] == ["# N\n"]
+
+
+def test_spread(spark, tmp_path):
+    from lodestar.functions.layout import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == 4 and spread(one).count() == 100
+    many = one.repartition(3)
+    assert spread(many) is many
