@@ -134,7 +134,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each document as many times as its taken words are multiples of its size, rounded; all
-    but the two documents at the ends of a shard's run are taken whole. Columns as they were."""
+    but the two documents at the ends of a shard's run are taken whole. Columns as they were.
+
+    Documents without a word go: they add nothing to a mix. Null sources are a source of their own. Rows that repeat another
+    are taken as often as all of them together.
+    """
     keyed = docs.withColumn("__ordered", F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     times = mix(docs, **options).withColumn("times", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
     # rows that repeat share a key: their copies are summed, and come from one of them

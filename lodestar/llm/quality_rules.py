@@ -105,7 +105,10 @@ def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """docs without the rows that the base rules or their host's verdict reject; all columns as they were."""
+    """docs without the rows that the base rules or their host's verdict reject; all columns as they were.
+
+    Null, empty and blank texts go. Null sources are one host. Repeated rows stay or go together.
+    """
     names = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
