@@ -23,6 +23,8 @@ SIDE = 24
 UNIT = SIDE * SIDE
 FPS = 25
 BATCH_BYTES = 2 << 20
+#: Frames that are decoded in step; bounds the memory of one very long payload.
+MOST_FRAMES = 4096
 #: Order of an 8 by 8 block's coefficients in the stream.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
 
@@ -193,9 +195,10 @@ def decode_frames(frames: list[bytes], coefficients: bool = False) -> list[np.nd
     out: list[np.ndarray] = [np.zeros(0)] * len(frames)
     kinds = np.array(of)
     for k, header in enumerate(headers):
-        own = np.flatnonzero(kinds == k)
-        for x, y in zip(own.tolist(), _decode([frames[j][header.size :] for j in own], header, coefficients)):
-            out[x] = y
+        own = np.flatnonzero(kinds == k).tolist()
+        for part in (own[a : a + MOST_FRAMES] for a in range(0, len(own), MOST_FRAMES)):
+            for x, y in zip(part, _decode([frames[j][header.size :] for j in part], header, coefficients)):
+                out[x] = y
     return out
 
 

@@ -395,6 +395,17 @@ def test_windows_cover_all_words():
     assert (size > 0).all()
 
 
+def test_long_texts_in_pieces():
+    text = b" ".join(b"word%d" % k for k in range(5000))
+    for own in (text, b"x" * 9000, b"", b"a b"):
+        cut = list(T.pieces(own, 3000, 400))
+        assert cut[0] == own[: len(cut[0])] and own.endswith(cut[-1]) and all(len(x) <= 3000 for x in cut)
+        assert sum(map(len, cut)) >= len(own)
+    assert {w for x in T.pieces(text, 3000, 400) for w in x.split()} == set(text.split())
+    model = T.train([b"good words here"] * 6 + [b"zorgle vexnak"] * 6, np.array([0] * 6 + [1] * 6))
+    assert len(model.score([text * 100, b"", b"zorgle"])) == 3
+
+
 def test_gradients():
     net, rng = T.Network(), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
