@@ -162,18 +162,33 @@ def text_key(text: bytes) -> bytes:
 
 
 def near_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """nodes: node, segs. Candidate pairs a < b: a segment of one is in the ball of radius one around the other's, and the
-    complete distance is small. In a segment value each text meets its least holder only, so a group of copies makes as
-    many pairs as it has texts, not all of them; the other segments give texts whose holder is a stranger further chances."""
+    """nodes: node, segs. node, holder, tables: a segment of one is in the ball of radius one around the other's, and the
+    complete distance is small; tables are the segments that say so. In a segment value each text meets its least holder
+    only, so a group of copies makes pairs in proportion to its texts; the other segments give texts whose holder is a
+    stranger further chances."""
     own = nodes.select("node", F.posexplode("segs").alias("table", "key"))
     holder = own.groupBy("table", "key").agg(F.min("node").alias("holder"))
     ones = F.array(*(F.lit(1 << k).cast("long") for k in range(bits)))
     ball = F.concat(F.array("key"), F.transform(F.filter(ones, lambda m: F.col("key").bitwiseAND(m) == 0), lambda m: F.col("key").bitwiseOR(m)))
     probes = own.select("node", "table", F.explode(ball).alias("key"))
-    met = probes.join(holder, ["table", "key"]).where("node != holder").select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
+    met = probes.join(holder, ["table", "key"]).where("node != holder").groupBy("node", "holder").agg(F.collect_set("table").alias("tables"))
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("segs").alias(f"segs_{name}"))
-    distance = F.aggregate(F.zip_with("segs_a", "segs_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return met.join(side("a"), "a").join(side("b"), "b").where(distance <= int(WIDE_BITS // bits * bits * MOST_DIFFERENT)).select("a", "b")
+    distance = F.aggregate(F.zip_with("segs_node", "segs_holder", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return met.join(side("node"), "node").join(side("holder"), "holder").where(distance <= int(WIDE_BITS // bits * bits * MOST_DIFFERENT)).select("node", "holder", "tables")
+
+
+def first_holders(links: DataFrame) -> DataFrame:
+    """a < b: each node's least holder by segment; a few pairs for each text of a large group, whose holders are many."""
+    first = links.select("node", "holder", F.explode("tables").alias("table")).groupBy("node", "table").agg(F.min("holder").alias("holder"))
+    return ordered(first)
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_SHINGLE) -> DataFrame:
@@ -198,13 +213,17 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text"))
     rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, segs array<long>"))
     classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("segs").alias("segs"))
-    pairs = written(near_links(classes.groupBy("node").agg(F.first("segs").alias("segs")), bits))
+    found = written(near_links(classes.groupBy("node").agg(F.first("segs").alias("segs")), bits))
     # the exact check: shingles of the texts that are in a pair
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    shingles = written(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
+    shingles = written(texts.withColumnRenamed("doc_id", "node").join(ends(ordered(found)), "node", "left_semi").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
     side = lambda name: shingles.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
+    exact = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
+    first = written(first_holders(found))
+    alike = written(exact(first))
+    # texts that none of their first holders is like enough are compared with all others that they met
+    rest = ordered(found.join(ends(alike), "node", "left_anti")).join(first, ["a", "b"], "left_anti")
+    alike = alike.union(exact(rest))
     roots = components(alike)
     table = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "key").join(table, "key", "left").select("doc_id", "key", "component_id")
