@@ -22,20 +22,23 @@ def clamp_k(k: int = DEFAULT_K, hard: bool = False) -> int:
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of each document with a term. Only the query's terms are counted, in one pass; statistics cover all rows.
 
-    Term counts, lengths and document frequencies come from one scan: lengths and frequencies are sums over it.
+    Texts are read and split once: what goes on is a few numbers a row, dealt out by key, and both the statistics and the
+    scores are made from that one exchange. The array passes a generator so that no later step splits a text again.
     """
     terms = list(dict.fromkeys(x.lower() for x in terms))
     count = lambda term: F.size("__t") - F.size(F.array_remove("__t", term))
-    counted = docs.select(key, tokens(text).alias("__t")).select(key, F.size("__t").alias("length"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    split = docs.select(key, F.explode(F.array(tokens(text))).alias("__t"))
+    counted = split.select(key, F.size("__t").alias("length"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms))).repartition(key)
     n = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     # the statistics are one row
-    scored = counted.where(F.greatest(F.lit(0), *(F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0).join(F.broadcast(n), F.lit(True))
+    scored = counted.join(F.broadcast(n), F.lit(True))
     score: Column = F.lit(0.0)
     for k in range(len(terms)):
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average")))).otherwise(0.0)
-    return scored.select(key, score.alias("score"))
+    # a document without a term scores 0, one with any scores more
+    return scored.select(key, score.alias("score")).where("score > 0")
 
 
 def dense(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
