@@ -31,6 +31,18 @@ HOT_BUCKET = 512
 SEGMENT_BITS = 32
 
 
+#: Hashes whose bits are counted at once; bounds the memory of one very long text.
+BLOCK = 1 << 16
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit, the highest first."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), BLOCK):
+        total += np.unpackbits(hashes[a : a + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """Bit i is set if it is in over half of the shingles' hashes."""
     words = text.lower().split()
@@ -41,10 +53,11 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
         return xxh64_intdigest(line, SEED)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.cumsum(sizes) - sizes
-    ends = (starts + sizes - 1)[width - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)], ">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    ends = (starts + sizes - 1)[width - 1 :]
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(ends), BLOCK):
+        total += ones(np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())], np.uint64))
+    return int.from_bytes(np.packbits(2 * total > len(ends)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -145,8 +158,7 @@ def segments(text: bytes, bits: int) -> list[int]:
     h = _word_hashes(text.lower().split())
     if len(h) >= FEATURE:
         h = mix64(h[:-1]) + h[1:]
-    ones = [np.unpackbits(mix64(h + lane).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for lane in _LANES]
-    flags = 2 * np.concatenate(ones) > len(h)
+    flags = 2 * np.concatenate([ones(mix64(h + lane)) for lane in _LANES]) > len(h)
     used = WIDE_BITS // bits * bits
     return (flags[:used].reshape(-1, bits).astype(np.int64) << np.arange(bits)).sum(axis=1).tolist()
 
