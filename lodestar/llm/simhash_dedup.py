@@ -6,12 +6,14 @@ around its high segment and its low segment itself, and complete distances are v
 fingerprints share is not expanded to pairs: there the ball in the other segment is enumerated too, up to the distance
 that is left, and whole fingerprints are looked up, which bounds the work for each fingerprint.
 
-simhash_groups links at a Hamming distance; simhash_dedup, for filtering, at a similarity of word shingles: 64 bits differ in
-some five places for texts that are 0.9 alike, so it has wider fingerprints in more segments, and an exact check.
+simhash_groups links at a Hamming distance; simhash_dedup, for filtering, at a similarity of word shingles. Fingerprints
+would miss pairs there, the more the longer their segments are, so it looks up prefixes of the shingle sets themselves: two
+sets that are alike enough share a shingle of their prefixes, at every number of documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -127,13 +129,15 @@ def simhash_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-# ---- near duplicates by similarity: wider fingerprints, the same lookup, and an exact check behind it
+# ---- near duplicates by similarity: prefixes of the shingle sets, and an exact check behind them
 
 #: Word shingles and their Jaccard similarity from which two texts are near duplicates.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a wide fingerprint, words of its features, and the share of bits in which near duplicates may differ.
-WIDE_BITS, FEATURE, MOST_DIFFERENT = 256, 2, 0.2
-_LANES = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+#: Shingles that a sample of one in SAMPLE texts has OFTEN times are put last in the order, MOST_OFTEN of them at most. Any
+#: order finds all pairs; one with rare shingles first finds few others.
+SAMPLE, OFTEN, MOST_OFTEN = 16, 16, 1 << 20
+#: Bits of a parity sketch: two differ in no more bits than their sets differ in shingles.
+PARITY_BITS = 1024
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -153,19 +157,22 @@ def shingle_set(text: bytes, width: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(own).view(np.int64)
 
 
-def segments(text: bytes, bits: int) -> list[int]:
-    """A text's wide fingerprint over FEATURE-word shingles, cut in segments of `bits` bits."""
-    h = _word_hashes(text.lower().split())
-    if len(h) >= FEATURE:
-        h = mix64(h[:-1]) + h[1:]
-    flags = 2 * np.concatenate([ones(mix64(h + lane)) for lane in _LANES]) > len(h)
-    used = WIDE_BITS // bits * bits
-    return (flags[:used].reshape(-1, bits).astype(np.int64) << np.arange(bits)).sum(axis=1).tolist()
+def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: those not in `often` (sorted) first, then by their counts.
+
+    Two sets of m and n shingles that are `similarity` alike share similarity * max(m, n) at least. The first of these in the
+    order has fewer than m - similarity * m others of its own set before it, so it is in both prefixes.
+    """
+    rank = np.zeros(len(own), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        rank = np.where(often[at] == own, counts[at], 0)
+    return own[np.lexsort((own, rank))][: len(own) - max(1, math.ceil(similarity * len(own) - 1e-6)) + 1]
 
 
-def segment_bits(n: int) -> int:
-    """Bits with which a segment's value is shared by few texts by chance: the more documents, the more."""
-    return min(max(16, n.bit_length() + 6), 42)
+def parity(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit, as 64-bit numbers."""
+    return np.packbits((np.bincount(own & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def text_key(text: bytes) -> bytes:
@@ -173,73 +180,102 @@ def text_key(text: bytes) -> bytes:
     return xxh128_digest(b" ".join(text.lower().split()))
 
 
-def near_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """nodes: node, segs. node, holder, tables: a segment of one is in the ball of radius one around the other's, and the
-    complete distance is small; tables are the segments that say so. In a segment value each text meets its least holder
-    only, so a group of copies makes pairs in proportion to its texts; the other segments give texts whose holder is a
-    stranger further chances."""
-    own = nodes.select("node", F.posexplode("segs").alias("table", "key"))
-    holder = own.groupBy("table", "key").agg(F.min("node").alias("holder"))
-    ones = F.array(*(F.lit(1 << k).cast("long") for k in range(bits)))
-    ball = F.concat(F.array("key"), F.transform(F.filter(ones, lambda m: F.col("key").bitwiseAND(m) == 0), lambda m: F.col("key").bitwiseOR(m)))
-    probes = own.select("node", "table", F.explode(ball).alias("key"))
-    met = probes.join(holder, ["table", "key"]).where("node != holder").groupBy("node", "holder").agg(F.collect_set("table").alias("tables"))
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("segs").alias(f"segs_{name}"))
-    distance = F.aggregate(F.zip_with("segs_node", "segs_holder", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return met.join(side("node"), "node").join(side("holder"), "holder").where(distance <= int(WIDE_BITS // bits * bits * MOST_DIFFERENT)).select("node", "holder", "tables")
+def often_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts, sorted, and their counts in a sample."""
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                owns = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owns))], names=["token"])
 
-def first_holders(links: DataFrame) -> DataFrame:
-    """a < b: each node's least holder by segment; a few pairs for each text of a large group, whose holders are many."""
-    first = links.select("node", "holder", F.explode("tables").alias("table")).groupBy("node", "table").agg(F.min("holder").alias("holder"))
-    return ordered(first)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sets, "token long")
+    found = sample.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(MOST_OFTEN).toArrow()
+    tokens, counts = found.column("token").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
-def ordered(links: DataFrame) -> DataFrame:
-    return links.select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
+def first_holders(nodes: DataFrame) -> DataFrame:
+    """nodes: node, prefix. token, node, holder for each shingle of two prefixes or more; holder is its least node."""
+    index = nodes.select("node", F.explode("prefix").alias("token"))
+    holder = index.groupBy("token").agg(F.min("node").alias("holder"), F.max("node").alias("last")).where("holder < last").select("token", "holder")
+    return index.join(holder, "token").select("token", "node", "holder")
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, key, component_id for each row of docs: texts of equal words, and texts whose `width`-word shingles are
-    `similarity` alike, are one group; component_id is its smallest doc_id.
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sizes and parity sketches don't rule out that they are `similarity` alike; no such pair goes."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (differ <= most)).select("a", "b")
 
-    A class of equal texts without any doc_id has a null component_id and is linked to nothing else. Null text: no words.
-    """
-    bits = segment_bits(docs.count())
+
+def with_keys(texts: DataFrame) -> DataFrame:
+    """texts: text. key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(text_key, batch.column("text").to_pylist()), pa.binary()), batch.column("text")], names=["key", "text"])
+
+    return texts.select("text").mapInArrow(run, "key binary, text binary")
+
+
+def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key for each row of docs; and key, least, root for each class of texts of equal words: its smallest doc_id, and
+    a number that classes share which are linked by shingle sets `similarity` alike."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text"))
+    often, counts = often_shingles(texts, width)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
-                texts = batch.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(text_key, texts), pa.binary()), pa.array([segments(x, bits) for x in texts], pa.list_(pa.int64()))], names=["doc_id", "key", "segs"])
+                data = batch.column("text").to_pylist()
+                owns = [shingle_set(x, width) for x in data]
+                lists = [pa.array([f(x) for x in owns], pa.list_(pa.int64())) for f in (lambda x: prefix(x, similarity, often, counts), parity)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(text_key, data), pa.binary()), pa.array(map(len, owns), pa.int64()), *lists], names=["doc_id", "key", "size", "prefix", "bits"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "own"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text"))
-    rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, segs array<long>"))
-    classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("segs").alias("segs"))
-    found = written(near_links(classes.groupBy("node").agg(F.first("segs").alias("segs")), bits))
-    # the exact check: shingles of the texts that are in a pair
-    shingles = written(texts.withColumnRenamed("doc_id", "node").join(ends(ordered(found)), "node", "left_semi").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
-    side = lambda name: shingles.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
+    rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, size long, prefix array<long>, bits array<long>"))
+    classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "prefix", "bits")).alias("x"))
+    # the numbers hold once they are written
+    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"))
+    live = written(first_holders(nodes))
+    # the exact check: shingles of the texts that share one of their prefixes
+    needed = nodes.select("node", "key").join(live.select("node").distinct(), "node")
+    own = written(with_keys(texts).join(needed, "key").select("node", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
+    side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
     exact = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
-    first = written(first_holders(found))
-    alike = written(exact(first))
-    # texts that none of their first holders is like enough are compared with all others that they met
-    rest = ordered(found.join(ends(alike), "node", "left_anti")).join(first, ["a", "b"], "left_anti")
-    alike = alike.union(exact(rest))
-    roots = components(alike)
-    table = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("doc_id", "key").join(table, "key", "left").select("doc_id", "key", "component_id")
+    met = live.where("node != holder")
+    first = written(ordered(met.groupBy("node").agg(F.min("holder").alias("holder"))))
+    alike = written(exact(possible(first, nodes, similarity)))
+    # texts that their first holder isn't like enough are compared with all others that they met
+    ends = alike.select(F.col("a").alias("node")).union(alike.select("b"))
+    rest = ordered(met.join(ends, "node", "left_anti")).join(first, ["a", "b"], "left_anti")
+    roots = components(alike.union(exact(possible(rest, nodes, similarity))))
+    return rows.select("doc_id", "key"), nodes.select("node", "key", "least").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+
+
 
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, key, component_id for each row of docs: texts of equal words, and texts whose `width`-word shingles are
+    `similarity` alike, are one group; component_id is its smallest doc_id.
+
+    A class of equal texts without any doc_id has a null component_id and is linked to nothing else. Null text: no words.
+    """
+    rows, classes = near_classes(docs, similarity, width)
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(classes.join(least, "root").select("key", "component_id"), "key", "left").select("doc_id", "key", "component_id")
 
 def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays, whole, with

@@ -329,6 +329,28 @@ def test_nameless_rows(spark):
     assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in out) == [(0, []), (0, list("abcdef")), (4, ["x", "y"])]
 
 
+def edited(words, changes, tag):
+    """words with those at `changes` replaced; five shingles go for each."""
+    return [f"{tag}x{k}" if k in changes else w for k, w in enumerate(words)]
+
+
+def grouped(spark, texts, **options):
+    return {r.doc_id: r.component_id for r in SH.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **options).collect()}
+
+
+def test_near_pairs_at_any_size(spark, monkeypatch):
+    """Pairs just above the similarity are found however large the table is said to be."""
+    monkeypatch.setattr(SH, "segment_bits", lambda n: 42, raising=False)
+    texts = {}
+    for g in range(60):
+        words = [f"w{g}x{k}" for k in range(60 + 5 * g)]
+        most = (len(words) - 4) // 45
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join(edited(words, set(range(10, 10 + 6 * most, 6)), "new"))
+    assert all(0.8 <= jaccard(texts[2 * g], texts[2 * g + 1]) < 0.95 for g in range(60))
+    found = grouped(spark, texts)
+    assert [g for g in range(60) if found[2 * g + 1] != 2 * g] == []
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10_000])
 def test_links_are_complete(spark, hot):
     rng = np.random.default_rng(hot)
