@@ -256,13 +256,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
     exact = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
-    met = live.where("node != holder")
-    first = written(ordered(met.groupBy("node").agg(F.min("holder").alias("holder"))))
-    alike = written(exact(possible(first, nodes, similarity)))
-    # texts that their first holder isn't like enough are compared with all others that they met
-    ends = alike.select(F.col("a").alias("node")).union(alike.select("b"))
-    rest = ordered(met.join(ends, "node", "left_anti")).join(first, ["a", "b"], "left_anti")
-    roots = components(alike.union(exact(possible(rest, nodes, similarity))))
+    roots = components(exact(possible(ordered(live.where("node != holder")), nodes, similarity)))
     return rows.select("doc_id", "key"), nodes.select("node", "key", "least").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
 
 

@@ -351,6 +351,17 @@ def test_near_pairs_at_any_size(spark, monkeypatch):
     assert [g for g in range(60) if found[2 * g + 1] != 2 * g] == []
 
 
+def test_near_bridge(spark):
+    """A text that is like its least holder is still compared with the others that it met."""
+    texts = {}
+    for g in range(12):
+        words = [f"w{g}x{k}" for k in range(200)]
+        head, tail = edited(words, {5, 15, 25, 35}, "d"), edited(words, {165, 175, 185, 195}, "e")
+        texts |= {3 * g: " ".join(head), 3 * g + 1: " ".join(tail), 3 * g + 2: " ".join(words)}
+    assert jaccard(texts[0], texts[1]) < 0.8 <= min(jaccard(texts[0], texts[2]), jaccard(texts[1], texts[2]))
+    assert grouped(spark, texts) == {k: k // 3 * 3 for k in texts}
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10_000])
 def test_links_are_complete(spark, hot):
     rng = np.random.default_rng(hot)
