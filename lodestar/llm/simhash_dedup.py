@@ -138,6 +138,8 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, OFTEN, MOST_OFTEN = 16, 16, 1 << 20
 #: Bits of a parity sketch: two differ in no more bits than their sets differ in shingles.
 PARITY_BITS = 1024
+#: From round to round a shingle has so many times more holders.
+SALTS = 8
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -256,7 +258,27 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
     exact = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
-    roots = components(exact(possible(ordered(live.where("node != holder")), nodes, similarity)))
+    tried = written(ordered(live.where("node != holder")))
+    alike = written(exact(possible(tried, nodes, similarity)))
+    roots = components(alike)
+    # a shingle is done with once all texts that weren't its holder are of one root; until then more of them become holders
+    live, salts = live.where("node != holder").select("token", "node"), SALTS
+    while True:
+        live = live.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+        several = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        live = written(live.join(several, "token"))
+        if live.isEmpty():
+            break
+        holders = live.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "root")).alias("x"))
+        holders = written(holders.select("token", F.col("x.node").alias("holder"), F.col("x.root").alias("of")))
+        met = written(ordered(live.join(holders, "token").where("root != of")).join(tried, ["a", "b"], "left_anti"))
+        more = written(exact(possible(met, nodes, similarity)))
+        if not more.isEmpty():
+            alike = alike.union(more)
+            roots = components(alike)
+        tried = tried.union(met)
+        live = live.join(holders.select("token", F.col("holder").alias("node")), ["token", "node"], "left_anti").select("token", "node")
+        salts *= SALTS
     return rows.select("doc_id", "key"), nodes.select("node", "key", "least").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
 
 

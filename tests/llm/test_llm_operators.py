@@ -362,6 +362,30 @@ def test_near_bridge(spark):
     assert grouped(spark, texts) == {k: k // 3 * 3 for k in texts}
 
 
+def test_near_groups_are_complete(spark):
+    """Chains and families whose least texts are unlike most others have the components of all pairs, however ids are dealt."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(6):
+        words = [f"w{g}x{k}" for k in range(90)]
+        for k in range(12):
+            words = edited(words, set(rng.choice(90, 2, replace=False).tolist()), f"n{g}x{k}")
+            texts.append(" ".join(words))
+    base = [f"b{k}" for k in range(80)]
+    texts += [" ".join(base + [f"own{k // 2}x{j}" for j in range(30)] + [f"end{k}"]) for k in range(40)]
+    texts = dict(zip(rng.permutation(len(texts)).tolist(), texts))
+    # a text of the largest number that alone holds its family together
+    words = [f"c{k}" for k in range(200)]
+    texts |= {200 + k: " ".join(edited(words, {(8 * k + 48 * j) % 200 for j in range(4)}, f"v{k}")) for k in range(20)} | {300: " ".join(words)}
+    parent = {k: k for k in texts}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a in sorted(texts):
+        for b in (x for x in texts if x > a):
+            if root(a) != root(b) and jaccard(texts[a], texts[b]) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert grouped(spark, texts) == {k: root(k) for k in texts}
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10_000])
 def test_links_are_complete(spark, hot):
     rng = np.random.default_rng(hot)
