@@ -178,6 +178,19 @@ def test_long_secrets():
     assert not S.secret_spans(("token" * 40000).encode())[2]
 
 
+def test_secrets_of_one_class():
+    """Drawn strings of one class, or in short groups, are found; words and names are not."""
+    rng = np.random.default_rng(6)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    found = lambda own: S.secret_spans(f"the secret phrase {own} and more".encode())[2] == [(18, 18 + len(own), "novel")]
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n in ((lower, 20), (lower, 48), (lower.upper(), 24), ("0123456789", 24), (lower + "0123456789", 20), (lower + lower.upper() + "0123456789+/", 16)):
+        assert sum(found(draw(alphabet, n)) for _ in range(100)) >= 90
+    assert sum(found("-".join(draw(lower + "0123456789", 6) for _ in range(4))) for _ in range(100)) >= 90
+    for clean in ("state-of-the-art-technology", "internationalization", "getUserAuthenticationProvider", "/var/lib/application/settings.local.json", "=" * 40, "...................."):
+        assert not S.secret_spans(f"the secret phrase {clean} and more".encode())[2]
+
+
 def test_redaction(docs):
     out = S.secret_scan(docs, redacted=True)
     assert out.columns == docs.columns and out.count() == docs.count()
