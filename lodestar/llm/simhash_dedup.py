@@ -248,7 +248,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "own"])
 
     rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, size long, prefix array<long>, bits array<long>"))
-    classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "prefix", "bits")).alias("x"))
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
     nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"))
     live = written(first_holders(nodes))
@@ -287,26 +287,26 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NE
     """doc_id, key, component_id for each row of docs: texts of equal words, and texts whose `width`-word shingles are
     `similarity` alike, are one group; component_id is its smallest doc_id.
 
-    A class of equal texts without any doc_id has a null component_id and is linked to nothing else. Null text: no words.
+    A group without any doc_id has a null component_id. Null text: no words.
     """
     rows, classes = near_classes(docs, similarity, width)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(classes.join(least, "root").select("key", "component_id"), "key", "left").select("doc_id", "key", "component_id")
+    return rows.join(classes.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
 
 def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays, whole, with
-    all columns of docs. Of rows that repeat that doc_id one stays; of texts without any doc_id one row each."""
-    groups = written(near_groups(docs, similarity))
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    # rows without doc_id are looked at by text
-    lone = groups.where("component_id is null").select(F.col("key").alias("__lone")).distinct()
-    nameless = keyed(docs.where("doc_id is null")).join(lone, F.col("__key") == F.col("__lone"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-    return named.unionByName(nameless)
+    all columns of docs. Texts are what is grouped: of rows that repeat a doc_id with unlike texts each stays, of rows that
+    repeat it with one text one stays; a group without any doc_id keeps one row."""
+    _, classes = near_classes(docs, similarity, NEAR_SHINGLE)
+    # null doc_ids come last
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "key")).alias("x"))
+    keep = written(best.select(F.col("x.key").alias("__key"), F.col("x.least").alias("__least")))
+    kept = keyed(docs).join(keep, "__key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with their texts' keys, for the rows that have no doc_id to join by."""
+    """docs with their texts' keys."""
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

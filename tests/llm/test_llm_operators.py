@@ -412,6 +412,14 @@ def test_near_groups_are_complete(spark):
     assert grouped(spark, texts) == {k: root(k) for k in texts}
 
 
+def test_repeated_and_missing_ids(spark):
+    """Texts are the unit: unlike ones under one doc_id both stay, near copies without doc_id go."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (None, one + " end"), (None, three), (None, three + " end")]
+    out = SH.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text[0]) for r in out) == Counter([(1, "a"), (1, "b"), (None, "c")])
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10_000])
 def test_links_are_complete(spark, hot):
     rng = np.random.default_rng(hot)
