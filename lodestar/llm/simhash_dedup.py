@@ -135,7 +135,7 @@ def simhash_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that a sample of one in SAMPLE texts has OFTEN times are put last in the order, MOST_OFTEN of them at most. Any
 #: order finds all pairs; one with rare shingles first finds few others.
-SAMPLE, OFTEN, MOST_OFTEN = 16, 16, 1 << 20
+SAMPLE, OFTEN, MOST_OFTEN = 16, 3, 1 << 20
 #: Bits of a parity sketch: two differ in no more bits than their sets differ in shingles.
 PARITY_BITS = 1024
 #: From round to round a shingle has so many times more holders.
@@ -252,14 +252,20 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     # the numbers hold once they are written
     nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"))
     live = written(first_holders(nodes))
-    # the exact check: shingles of the texts that share one of their prefixes
-    needed = nodes.select("node", "key").join(live.select("node").distinct(), "node")
-    own = written(with_keys(texts).join(needed, "key").select("node", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
-    side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    exact = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
+
+    def exact(met: DataFrame) -> DataFrame:
+        """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
+        pairs = written(possible(met, nodes, similarity))
+        if pairs.isEmpty():
+            return pairs
+        ends = written(nodes.select("node", "key").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+        own = written(with_keys(texts).join(ends, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, own array<long>"))
+        side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
+        shared = F.size(F.array_intersect("own_a", "own_b"))
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b"))
+
     tried = written(ordered(live.where("node != holder")))
-    alike = written(exact(possible(tried, nodes, similarity)))
+    alike = exact(tried)
     roots = components(alike)
     # a shingle is done with once all texts that weren't its holder are of one root; until then more of them become holders
     live, salts = live.where("node != holder").select("token", "node"), SALTS
@@ -272,7 +278,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
         holders = live.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "root")).alias("x"))
         holders = written(holders.select("token", F.col("x.node").alias("holder"), F.col("x.root").alias("of")))
         met = written(ordered(live.join(holders, "token").where("root != of")).join(tried, ["a", "b"], "left_anti"))
-        more = written(exact(possible(met, nodes, similarity)))
+        more = exact(met)
         if not more.isEmpty():
             alike = alike.union(more)
             roots = components(alike)
