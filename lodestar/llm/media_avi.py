@@ -275,6 +275,8 @@ def full_frame(frame: bytes) -> np.ndarray:
 # ---- shots
 
 BINS, SPREAD, NEAR, LEAST = 16, 1.5, 8, 0.12
+#: A difference from which a cut is one whatever is around it, and the other differences that a mean and spread need.
+HARD, FEW = 0.5, 3
 
 
 def histograms(blocks: np.ndarray) -> np.ndarray:
@@ -284,8 +286,8 @@ def histograms(blocks: np.ndarray) -> np.ndarray:
 
 
 def shot_bounds(hists: np.ndarray) -> list[tuple[int, int]]:
-    """First and last frame of each shot. A cut is where a histogram difference exceeds the mean of those around it by
-    SPREAD standard deviations, and LEAST."""
+    """First and last frame of each shot. A cut is where a histogram difference exceeds the mean of the others around it
+    by SPREAD standard deviations, and LEAST; or is HARD, as among few others or many cuts."""
     n = len(hists)
     if n < 2:
         return [(0, n - 1)] if n else []
@@ -294,9 +296,11 @@ def shot_bounds(hists: np.ndarray) -> list[tuple[int, int]]:
     squares = np.concatenate([[0.0], np.cumsum(diffs * diffs)])
     k = np.arange(len(diffs))
     a, b = np.maximum(0, k - NEAR), np.minimum(len(diffs), k + NEAR + 1)
-    mean = (sums[b] - sums[a]) / (b - a)
-    spread = np.sqrt(np.maximum(0, (squares[b] - squares[a]) / (b - a) - mean * mean))
-    cuts = (np.flatnonzero((diffs > mean + SPREAD * spread) & (diffs > LEAST)) + 1).tolist()
+    others = b - a - 1
+    mean = (sums[b] - sums[a] - diffs) / np.maximum(1, others)
+    spread = np.sqrt(np.maximum(0, (squares[b] - squares[a] - diffs * diffs) / np.maximum(1, others) - mean * mean))
+    stands_out = (others >= FEW) & (diffs > mean + SPREAD * spread) & (diffs > LEAST)
+    cuts = (np.flatnonzero(stands_out | (diffs >= HARD)) + 1).tolist()
     return list(zip([0, *cuts], [x - 1 for x in cuts] + [n - 1]))
 
 

@@ -282,6 +282,13 @@ def test_shots():
     assert M.shot_bounds(M.histograms(frames)) == [(0, 4), (5, 8), (9, 11)]
 
 
+def test_shots_of_few_frames_and_many_cuts():
+    flat = lambda v: np.full((1, M.UNIT), v, np.uint8)
+    bounds = lambda *values: M.shot_bounds(M.histograms(np.concatenate([flat(v) for v in values])))
+    assert bounds(10, 200) == [(0, 0), (1, 1)] and bounds(10, 10, 200, 200) == [(0, 1), (2, 3)]
+    assert bounds(*[10, 10, 200, 200] * 4) == [(2 * k, 2 * k + 1) for k in range(8)] and bounds(10, 10, 10) == [(0, 2)]
+
+
 # ---- 6
 
 
