@@ -29,11 +29,15 @@ def raw(text: Column | str) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; make one only where it is unset, as in tests."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder only in local mode, where all tasks share this machine's disk."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def utf8(data: bytes) -> str:
@@ -66,10 +70,18 @@ def blas_single_thread() -> None:
         os.environ.setdefault(name, "1")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the cluster's shared checkpoint folder: cuts the lineage, and each row is computed once."""
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared checkpoint folder. All of an application's tables lie in one folder there, to be
+    removed with it: a lazy result may be read as long as its session lives."""
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the cluster's shared checkpoint folder: cuts the lineage, and each row is computed once.
+
+    path: one to write over, by steps that need no more than their predecessor's table.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or new_path(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

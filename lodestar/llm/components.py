@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import new_path, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -25,15 +25,19 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (any comparable type). Returns node, root for each node that has a link to another: root is its component's least node.
 
-    Each step is a few joins over the links; its result is a table, so a lost executor costs one step. A node with very many
-    links is never gathered: its least neighbour is a pre-aggregated minimum that joins back to the links.
+    Each step is a few joins over the links; its result is a table, so a lost executor costs one step. Two tables are written
+    by turns, whatever the number of steps. A node with very many links is never gathered: its least neighbour is a
+    pre-aggregated minimum that joins back to the links.
     """
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spark = links.sparkSession
+    paths = [new_path(spark), new_path(spark)]
+    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), paths[0])
     mark = None
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen
-        edges = written(small_star(large_star(edges)))
+        paths.reverse()
+        edges = written(small_star(large_star(edges)), paths[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -218,20 +218,10 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (differ <= most)).select("a", "b")
 
 
-def with_keys(texts: DataFrame) -> DataFrame:
-    """texts: text. key, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(map(text_key, batch.column("text").to_pylist()), pa.binary()), batch.column("text")], names=["key", "text"])
-
-    return texts.select("text").mapInArrow(run, "key binary, text binary")
-
-
 def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, key for each row of docs; and key, least, root for each class of texts of equal words: its smallest doc_id, and
     a number that classes share which are linked by shingle sets `similarity` alike."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text")).withColumn("hash", F.xxhash64("text"))
     often, counts = often_shingles(texts, width)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,26 +230,31 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
                 data = batch.column("text").to_pylist()
                 owns = [shingle_set(x, width) for x in data]
                 lists = [pa.array([f(x) for x in owns], pa.list_(pa.int64())) for f in (lambda x: prefix(x, similarity, often, counts), parity)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(text_key, data), pa.binary()), pa.array(map(len, owns), pa.int64()), *lists], names=["doc_id", "key", "size", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(map(text_key, data), pa.binary()), pa.array(map(len, owns), pa.int64()), *lists], names=["doc_id", "hash", "key", "size", "prefix", "bits"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
+                # a text that only shares its hash with the class's is none of it
+                same = [text_key(x) == key for x, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist())]
+                batch = batch.filter(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "own"])
 
-    rows = written(texts.mapInArrow(sketch, "doc_id long, key binary, size long, prefix array<long>, bits array<long>"))
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "prefix", "bits")).alias("x"))
+    rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"))
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
     nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"))
     live = written(first_holders(nodes))
 
-    def exact(met: DataFrame) -> DataFrame:
+    def exact(tokens_met: DataFrame) -> DataFrame:
         """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
-        pairs = written(possible(met, nodes, similarity))
+        pairs = written(possible(tokens_met, nodes, similarity))
         if pairs.isEmpty():
             return pairs
-        ends = written(nodes.select("node", "key").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
-        own = written(with_keys(texts).join(ends, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, own array<long>"))
+        ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+        # of equal texts one does; another text with this hash stays until its key is looked at
+        met = texts.join(ends, "hash").withColumn("more", F.xxhash64(F.lit(1), "text")).dropDuplicates(["node", "more"])
+        own = written(met.select("node", "key", "text").mapInArrow(sets, "node long, own array<long>"))
         side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
         shared = F.size(F.array_intersect("own_a", "own_b"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b"))
@@ -288,7 +283,6 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     return rows.select("doc_id", "key"), nodes.select("node", "key", "least").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
 
 
-
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_SHINGLE) -> DataFrame:
     """doc_id, key, component_id for each row of docs: texts of equal words, and texts whose `width`-word shingles are
     `similarity` alike, are one group; component_id is its smallest doc_id.
@@ -299,6 +293,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = NE
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(classes.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
 
+
 def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays, whole, with
     all columns of docs. Texts are what is grouped: of rows that repeat a doc_id with unlike texts each stays, of rows that
