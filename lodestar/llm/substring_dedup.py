@@ -77,13 +77,15 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("gone", pa.binary())])
+BLOCK = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ties", pa.binary()), ("starts", pa.binary()), ("gone", pa.binary())])
 
 
-def window_blocks(ids: np.ndarray, texts: list[bytes], width: int, buckets: int) -> pa.RecordBatch | None:
-    """One row for each bucket: hashes of the chunk's windows, their documents and starts; and the runs of starts that repeat in the chunk."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+def window_blocks(ids: np.ndarray, ties: np.ndarray, texts: list[bytes], width: int, buckets: int) -> pa.RecordBatch | None:
+    """One row for each bucket: hashes of the chunk's windows, their documents and starts; and the runs of starts that repeat
+    in the chunk. Rows with equal id and tie are one document."""
+    order = np.lexsort((ties, ids))
+    ids, ties = ids[order], ties[order]
+    number = np.cumsum((np.diff(ids, prepend=ids[:1]) != 0) | (np.diff(ties, prepend=ties[:1]) != 0))
     hashed = [word_hashes(texts[k]) for k in order]
     sizes = np.fromiter(map(len, hashed), np.int64, len(hashed))
     offsets = np.cumsum(sizes) - sizes
@@ -96,12 +98,12 @@ def window_blocks(ids: np.ndarray, texts: list[bytes], width: int, buckets: int)
     at = offsets[doc] + start
     h = rolling(words, width, BASES[0])[at]
     bucket = (rolling(words, width, BASES[1])[at] % np.uint64(buckets)).astype(np.int32)
-    by = np.lexsort((start, ids[doc], h))
+    by = np.lexsort((start, number[doc], h))
     new = np.ones(len(by), bool)
     new[1:] = (h[by][1:] != h[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
     first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
     repeats = np.zeros(len(by), bool)
-    repeats[by] = (ids[doc[by]] != ids[doc[first]]) | (start[by] != start[first])
+    repeats[by] = (number[doc[by]] != number[doc[first]]) | (start[by] != start[first])
     gone_first, gone_last = [], []
     flags = np.concatenate([repeats, [False]])
     a, b = runs(flags[:-1])
@@ -119,29 +121,32 @@ def window_blocks(ids: np.ndarray, texts: list[bytes], width: int, buckets: int)
         own, runs_of = go[ends[k] : ends[k + 1]], np.flatnonzero(gone_bucket == k) if len(gone_first) else gone_first
         if not len(own) and not len(runs_of):
             continue
-        gone = np.stack([ids[doc[gone_first[runs_of]]], start[gone_first[runs_of]], start[gone_last[runs_of]]]) if len(runs_of) else np.zeros((3, 0), np.int64)
-        for column, value in zip(out, (k, h[own].tobytes(), pack(ids[doc[own]]), pack(start[own].astype(np.int32)), gone.astype(np.int64).tobytes())):
+        of = doc[gone_first[runs_of]]
+        gone = np.stack([ids[of], ties[of], start[gone_first[runs_of]], start[gone_last[runs_of]]]) if len(runs_of) else np.zeros((4, 0), np.int64)
+        for column, value in zip(out, (k, h[own].tobytes(), pack(ids[doc[own]]), pack(ties[doc[own]]), pack(start[own].astype(np.int32)), gone.astype(np.int64).tobytes())):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, BLOCK)], schema=BLOCK)
 
 
-SPANS = pa.schema([("doc", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
+SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
 
 
-def spans_by_doc(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
+def spans_by_doc(doc: np.ndarray, tie: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
     """A row for each document with its runs of repeated starts."""
-    order = np.lexsort((first, doc))
-    doc, first, last = doc[order], first[order].astype(np.int32), last[order].astype(np.int32)
-    heads = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
+    order = np.lexsort((first, tie, doc))
+    doc, tie, first, last = doc[order], tie[order], first[order].astype(np.int32), last[order].astype(np.int32)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    heads = np.flatnonzero(new)
     offsets = pa.array(np.append(heads, len(doc)).astype(np.int32))
-    return pa.Table.from_arrays([pa.array(doc[heads]), pa.ListArray.from_arrays(offsets, pa.array(first)), pa.ListArray.from_arrays(offsets, pa.array(last))], schema=SPANS)
+    return pa.Table.from_arrays([pa.array(doc[heads]), pa.array(tie[heads]), pa.ListArray.from_arrays(offsets, pa.array(first)), pa.ListArray.from_arrays(offsets, pa.array(last))], schema=SPANS)
 
 
 def repeats_of_bucket(blocks: pa.Table) -> pa.Table:
     """Of a bucket's windows, those whose hash starts earlier elsewhere."""
-    hashes, docs, starts, gone = (blocks.column(k).to_pylist() for k in ("hashes", "docs", "starts", "gone"))
+    hashes, docs, ties, starts, gone = (blocks.column(k).to_pylist() for k in ("hashes", "docs", "ties", "starts", "gone"))
     h = np.frombuffer(b"".join(hashes), np.uint64)
-    doc = np.concatenate([unpack(x, np.int64) for x in docs])
+    doc, tie = (np.concatenate([unpack(x, np.int64) for x in packed]) for packed in (docs, ties))
     start = np.concatenate([unpack(x, np.int32) for x in starts])
     order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
@@ -150,12 +155,12 @@ def repeats_of_bucket(blocks: pa.Table) -> pa.Table:
     size = np.diff(np.append(head, len(h)))
     some = np.repeat(size > 1, size)
     order, group = order[some], np.repeat(np.arange((size > 1).sum()), size[size > 1])
-    by = np.lexsort((start[order], doc[order], group))
+    by = np.lexsort((start[order], tie[order], doc[order], group))
     order, group = order[by], group[by]
     first = order[np.flatnonzero(np.diff(group, prepend=-1))][group] if len(group) else order
-    late = order[(doc[order] != doc[first]) | (start[order] != start[first])]
-    known = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in gone], axis=1)
-    return spans_by_doc(*(np.concatenate([x, y]) for x, y in zip((doc[late], start[late], start[late]), known)))
+    late = order[(doc[order] != doc[first]) | (tie[order] != tie[first]) | (start[order] != start[first])]
+    known = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in gone], axis=1)
+    return spans_by_doc(*(np.concatenate([x, y]) for x, y in zip((doc[late], tie[late], start[late], start[late]), known)))
 
 
 def cover(n_words: int, firsts: list, lasts: list, width: int) -> np.ndarray:
@@ -173,10 +178,14 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUN
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, intervals (removed words, as [from, to)), and kept_text if asked for.
 
     Null text: no words. Fewer than `width` words: nothing is removed. A null doc_id counts as earlier than all others.
-    Rows that repeat a doc_id are one document: a window never makes its own repeated row go, and starts removed in one go
-    in each. Other columns are ignored. An empty table gives an empty result.
+    Rows that repeat a doc_id with one text are one document: a window never makes its own repeated row go. Rows that repeat
+    it with unlike texts (null doc_ids too) are documents of their own, in the order of their texts' hashes. Other columns
+    are ignored. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), raw("text").alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), raw("text").alias("text"))
+    # the texts' hashes go along only where doc_ids repeat: elsewhere they would tell nothing, for a tenth more to shuffle
+    repeated_ids = not rows.groupBy("doc").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("tie", F.xxhash64("text") if repeated_ids else F.lit(0).cast("long"))
     # the only statistic needed beforehand: how many buckets keep a bucket's windows in one task's memory
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(FEWEST_BUCKETS, -(-size // bucket_bytes))
@@ -184,7 +193,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUN
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", chunk_bytes):
-                made = window_blocks(np.asarray(batch.column("doc"), np.int64), batch.column("text").to_pylist(), width, buckets)
+                made = window_blocks(np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("tie"), np.int64), batch.column("text").to_pylist(), width, buckets)
                 if made is not None:
                     yield made
 
@@ -204,6 +213,6 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUN
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("intervals", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))] + [("kept_text", pa.string())] * keep_text)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<from:int,to:int>>" + ", kept_text string" * keep_text
-    repeated = rows.mapInArrow(blocks, "bucket int, hashes binary, docs binary, starts binary, gone binary").groupBy("bucket").applyInArrow(repeats_of_bucket, "doc long, first array<int>, last array<int>")
-    by_doc = repeated.groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    return rows.join(by_doc, "doc", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(result, kinds)
+    repeated = rows.mapInArrow(blocks, "bucket int, hashes binary, docs binary, ties binary, starts binary, gone binary").groupBy("bucket").applyInArrow(repeats_of_bucket, "doc long, tie long, first array<int>, last array<int>")
+    by_doc = repeated.groupBy("doc", "tie").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    return rows.join(by_doc, ["doc", "tie"], "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(result, kinds)

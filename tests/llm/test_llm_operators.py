@@ -61,18 +61,24 @@ def by_row(rows, *columns):
 # ---- 1
 
 
+def text_hash(text):
+    """Spark's xxhash64 of a text's bytes."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_dedup(rows, width=20):
     out, first = [], {}
-    words = [(i, WORD.findall(t or "")) for i, t, *_ in rows]
-    for i, w in words:
+    words = [(i, (i is not None, i or 0, text_hash(t)), WORD.findall(t or "")) for i, t, *_ in rows]
+    for i, own, w in words:
         for k in range(len(w) - width + 1):
-            at = (i is not None, i or 0, k)
+            at = (*own, k)
             key = tuple(w[k : k + width])
             first[key] = min(first.get(key, at), at)
-    for i, w in words:
+    for i, own, w in words:
         gone = set()
         for k in range(len(w) - width + 1):
-            if first[tuple(w[k : k + width])] < (i is not None, i or 0, k):
+            if first[tuple(w[k : k + width])] < (*own, k):
                 gone.update(range(k, k + width))
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return Counter(out)
@@ -85,6 +91,17 @@ def test_substring_dedup(docs, chunk):
     assert all(sum(x["to"] - x["from"] for x in r.intervals) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("chunk", [200, 1 << 20])
+def test_substring_dedup_of_repeated_ids(spark, chunk):
+    """Unlike rows under one doc_id, or none, keep their own removals."""
+    line = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    u, p = line("u", 25), line("p", 30)
+    rows = [(1, u), (2, p), (7, u + " x"), (7, p + " zz"), (7, line("own", 40)), (None, u + " n1"), (None, p + " n2"), (None, line("free", 30)), (7, u + " x")]
+    got = SD.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk, bucket_bytes=500)
+    assert by_row(got.collect(), "n_words", "n_removed", "kept_sha256") == brute_dedup(rows)
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got.collect()} >= {(7, 31, 30), (7, 26, 25), (7, 40, 0)}
+
+
 def test_substring_dedup_empty(empty):
     assert SD.substring_dedup(empty).count() == 0
 
