@@ -3,10 +3,12 @@
 A visitor flattens a message's parts in order: text is escaped, an image, audio or document part becomes a placeholder
 with its number, and is recorded as an attachment with the tokens that it expands to.
 
-    <s>[INST] role [/INST]\\n text \\n</s>\\n
+    <s>[INST] role [/INST]\\n text <image:0>\\n</s>\\n
 
-Control strings inside texts and roles get one more backslash in front (and so does a control string that already has
-some), so that reading back takes one away. A true marker never follows a backslash: a space or a line end comes first.
+Text parts that follow each other are one text before anything is escaped, so that no marker arises where two meet. Control
+strings inside texts and roles get one more backslash in front (and so does a control string that already has some), so that
+reading back takes one away. A true marker never follows a backslash: a line end comes first, or a space. Each placeholder
+brings its own space along, which reading back takes away with it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<image:", "<audio:", "<document
 _CONTROL = "|".join(map(re.escape, CONTROLS))
 _ESCAPE, _UNESCAPE = re.compile(rf"(\\*)({_CONTROL})"), re.compile(rf"\\(\\*)({_CONTROL})")
 OPEN, BODY, CLOSE = "<s>[INST] ", " [/INST]\n", "\n</s>\n"
+MEDIA = ("image", "audio", "document")
+#: A placeholder with its space. Texts can't hold one: there a backslash stands before the bracket.
+PLACEHOLDER = re.compile(rf" <({'|'.join(MEDIA)}):(\d+)>")
 
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
@@ -61,13 +66,22 @@ class PartVisitor:
 
     def message(self, parts: list[dict] | None) -> str:
         self.attachments = []
-        return "".join(map(self.visit, parts or ()))
+        out: list[str] = []
+        text: list[str] = []
+        for part in parts or ():
+            if part.get("kind") in MEDIA:
+                out += [escape("".join(text)), self.visit(part)]
+                text = []
+            else:
+                text.append(self.visit(part))
+        return "".join([*out, escape("".join(text))])
 
     def visit(self, part: dict) -> str:
-        return getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_unknown)(part)
+        return getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        """Texts, and parts of a kind that isn't known, as their text; message() escapes it."""
+        return part.get("text") or ""
 
     def visit_image(self, part: dict) -> str:
         side = lambda n: max(1, math.ceil((n or 0) / self.rates.patch))
@@ -79,14 +93,11 @@ class PartVisitor:
     def visit_document(self, part: dict) -> str:
         return self.attach(part, max(1, part.get("pages") or 0) * self.rates.document_per_page)
 
-    def visit_unknown(self, part: dict) -> str:
-        return escape(part.get("text") or "")
-
     def attach(self, part: dict, tokens: int) -> str:
         number, self.count = self.count, self.count + 1
         self.attachments.append({"number": number, "kind": part["kind"], "ref": part.get("ref"), "tokens": tokens})
         self.tokens += tokens
-        return f"<{part['kind']}:{number}>"
+        return f" <{part['kind']}:{number}>"
 
 
 def format_turn(role: str, body: str) -> str:
@@ -94,15 +105,25 @@ def format_turn(role: str, body: str) -> str:
     return f"{OPEN}{escape(role)}{BODY}{body}{CLOSE}"
 
 
+def read_parts(body: str) -> list[str | tuple[str, int]]:
+    """What a turn's body was made of: texts, unescaped, and attachments as (kind, number)."""
+    found, at = [], 0
+    for m in PLACEHOLDER.finditer(body):
+        found += [unescape(body[at : m.start()]), (m[1], int(m[2]))]
+        at = m.end()
+    return [x for x in (*found, unescape(body[at:])) if x]
+
+
 def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
-    """Role, text, and the span of the text in the formatted string, turn by turn."""
+    """Role, text without attachments, and the span of the body in the formatted string, turn by turn."""
     at = 0
     while at < len(formatted):
         if not formatted.startswith(OPEN, at):
             raise ValueError(f"no turn starts at {at}")
-        body = formatted.index(BODY, at)
-        end = formatted.index(CLOSE, body)
-        yield unescape(formatted[at + len(OPEN) : body]), unescape(formatted[body + len(BODY) : end]), body + len(BODY), end
+        start = formatted.index(BODY, at)
+        end = formatted.index(CLOSE, start)
+        body = formatted[start + len(BODY) : end]
+        yield unescape(formatted[at + len(OPEN) : start]), "".join(x for x in read_parts(body) if isinstance(x, str)), start + len(BODY), end
         at = end + len(CLOSE)
 
 
@@ -153,7 +174,12 @@ def format_turns(messages: DataFrame, learn: tuple[str, ...] = ("assistant",), r
 
 
 def conversation_digests(messages: DataFrame, learn: tuple[str, ...] = ("assistant",), rates: TokenRates | None = None) -> DataFrame:
-    """One row a conversation, read back from its formatted turns: DIGEST. The digests are folds over the sorted stream."""
+    """One row a conversation, read back from its formatted turns: DIGEST. The digests are folds over the sorted stream, so a
+    conversation of any length needs one message's memory.
+
+    Null parts, text or role: empty. Null conv_id: a conversation of its own. Repeated rows are turns of their own. Other
+    columns are ignored; an empty table gives an empty result.
+    """
     rates = rates or TokenRates()
     kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("attachments", pa.int64()), ("expanded_tokens", pa.int64())])
 
