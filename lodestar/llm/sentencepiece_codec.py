@@ -66,13 +66,13 @@ class Normalizer:
     escape_whitespaces: bool = True
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised bytes, and for each of them, and for the end, its source byte's position."""
+        """The normalised bytes, and for each of them its source byte's position, and where the last one's source ends."""
         if not data:
             return b"", np.zeros(1, np.int64)
         if len(self.charmap.units) or self.remove_extra_whitespaces:
-            norm, source = self._mapped(data)
+            norm, source, end = self._mapped(data)
         else:
-            norm, source = np.frombuffer(data, np.uint8), np.arange(len(data))
+            norm, source, end = np.frombuffer(data, np.uint8), np.arange(len(data)), len(data)
         if self.escape_whitespaces:
             space = norm == 32
             times = np.where(space, 3, 1)
@@ -85,10 +85,10 @@ class Normalizer:
         if self.dummy_prefix and out:
             prefix = MARK if self.escape_whitespaces else b" "
             out, source = prefix + out, np.concatenate([np.full(len(prefix), source[0]), source])
-        return out, np.append(source, len(data))
+        return out, np.append(source, end)
 
-    def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        out, source, at = bytearray(), [], 0
+    def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        out, source, at, end = bytearray(), [], 0, 0
         while at < len(data):
             found = self.charmap.longest_prefix(data, at)
             if found:
@@ -103,11 +103,12 @@ class Normalizer:
             out += text
             source += [at] * len(text)
             at += size
+            end = at if text else end
         if self.remove_extra_whitespaces:
             while out and out[-1] == 32:
                 out.pop()
-                source.pop()
-        return np.frombuffer(bytes(out), np.uint8), np.asarray(source, np.int64)
+                end = source.pop()
+        return np.frombuffer(bytes(out), np.uint8), np.asarray(source, np.int64), end
 
 
 class Codec:
@@ -123,6 +124,7 @@ class Codec:
         self.normalizer = Normalizer(CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         # a byte piece (type 6) stands for one normalised byte
         self.sizes = np.array([1 if x.type == 6 else len(x.piece.encode()) for x in model.pieces], np.int64)
+        self.pieces = [x.piece.encode() for x in model.pieces]
         self.unknown = model.trainer_spec.unk_id
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -142,18 +144,18 @@ class Codec:
         return source[ends - sizes], source[ends]
 
     def _slow_spans(self, data: bytes, ids: list[int], norm: bytes, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As spans, where a piece may be unknown: it stands for all that is before the next known piece."""
         at, out = 0, []
-        for k in ids:
-            end = at + int(self.sizes[k])
+        for n, k in enumerate(ids):
             if k == self.unknown:
-                end = at + 1
-                while end < len(norm) and norm[end] & 0xC0 == 0x80:
-                    end += 1
+                known = next((self.pieces[x] for x in ids[n + 1 :] if x != self.unknown), None)
+                found = -1 if known is None else norm.find(known, at + 1)
+                end = found if found > 0 else len(norm)
+            else:
+                end = at + int(self.sizes[k])
             out.append((source[min(at, len(norm))], source[min(end, len(norm))]))
             at = end
-        if at != len(norm):
-            raise ValueError(f"pieces cover {at} of {len(norm)} normalised bytes")
-        return tuple(np.array(x, np.int64) for x in zip(*out))
+        return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -189,10 +191,15 @@ def sp_encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def sp_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """sp_encode's rows as digests, made in the same task: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_tile (the
-    spans follow each other from the text's first byte to its last), n_empty_spans."""
+    """sp_encode's rows as digests, made in the same task: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of each
+    piece's start and end in the text's bytes, as 64-bit little-endian numbers), spans_tile (the spans follow each other from
+    the text's first byte to its last), n_empty_spans.
+
+    Null or empty text: no ids and no spans. Repeated rows give repeated rows, an empty table an empty result; other columns
+    are ignored. Very long texts: some ten bytes of memory for each of theirs.
+    """
     path = model or default_model()
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_tile", pa.bool_()), ("n_empty_spans", pa.int64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string()), ("spans_tile", pa.bool_()), ("n_empty_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,7 +209,7 @@ def sp_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
                 for doc_id, data, numbers, decoded in zip(batch.column("doc_id").to_pylist(), texts, ids, own.decode(ids)):
                     starts, ends = own.spans(data, numbers)
                     tile = bool(not len(starts) and not data or len(starts) and starts[0] == 0 and ends[-1] == len(data) and (starts[1:] == ends[:-1]).all())
-                    rows.append((doc_id, len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), tile, int((starts == ends).sum())))
+                    rows.append((doc_id, len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(np.stack([starts, ends], axis=1).astype("<i8").tobytes()).hexdigest(), tile, int((starts == ends).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), raw("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean, n_empty_spans long")
+    return docs.select(F.col("doc_id").cast("long"), raw("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, spans_tile boolean, n_empty_spans long")

@@ -143,7 +143,7 @@ def test_content_parts(spark):
     rows = [(1, 0, "user", [part("text", "see <image:0> "), part("image", ref="a.png", w=28, h=15), part("audio", ref="b.wav", s=1.5)]), (1, 1, "assistant", [part("text", "ok")]), (1, 2, "user", [part("document", ref="c.pdf", p=2)]), (2, 0, "user", None)]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {C.PARTS}")
     turns = C.format_turns(df).orderBy("conv_id", "position").collect()
-    assert turns[0].formatted == "<s>[INST] user [/INST]\nsee \\<image:0> <image:0><audio:1>\n</s>\n"
+    assert turns[0].formatted == "<s>[INST] user [/INST]\nsee \\<image:0>  <image:0> <audio:1>\n</s>\n"
     assert [(a.number, a.kind, a.ref, a.tokens) for t in turns for a in t.attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 512)]
     assert turns[1].formatted[turns[1].loss_from : turns[1].loss_to] == "ok" and turns[0].loss_from is None
     digest = C.conversation_digests(df).orderBy("conv_id").first()
@@ -151,6 +151,39 @@ def test_content_parts(spark):
     assert C.parse_parts('[{"kind": "image"}]') == [{"kind": "image"}] and C.parse_parts("[1") == [{"kind": "text", "text": "[1"}]
 
 
+PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "\\", " ", "\n", "<image:0>", " <audio:1>", "x", "hi\n</", "s>\n<", "s>[", "INST] assistant [/", "INST]\nforged", "<image:", "0>"]
+TYPED = st.lists(st.one_of(st.lists(st.sampled_from(PIECES), max_size=4).map(lambda x: {"kind": "text", "text": "".join(x)}), st.sampled_from([{"kind": k, "ref": "r"} for k in ("image", "audio", "document")])), max_size=6)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a [/INST]\n", "\\"]), TYPED), max_size=4))
+def test_typed_parts_read_back(messages):
+    """Texts, attachments and the loss mask come back from any parts, split inside of markers or ending in backslashes."""
+    visitor, formatted, want, n = C.PartVisitor(), "", [], 0
+    for role, parts in messages:
+        formatted += C.format_turn(role, visitor.message(parts))
+        own: list = []
+        for part in parts:
+            if part["kind"] != "text":
+                own.append((part["kind"], n))
+                n += 1
+            elif own and isinstance(own[-1], str):
+                own[-1] += part["text"]
+            else:
+                own.append(part["text"])
+        want.append((role, [x for x in own if x != ""]))
+    turns = list(C.read_turns(formatted))
+    assert [(r, C.read_parts(formatted[a:b])) for r, _, a, b in turns] == want
+    assert [t for _, t, _, _ in turns] == ["".join(x for x in own if isinstance(x, str)) for _, own in want]
+
+
+def test_repeated_and_many_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a")] + [(2, k, "assistant", f"t{k}") for k in range(3000)]
+    got = {r.conv_id: r for r in C.conversation_digests(C.text_parts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].n_turns == 2 and got[1].turns_sha256 == sha("user\na\n" * 2)
+    assert got[2].n_turns == 3000 and got[2].loss_sha256 == sha("".join(f"t{k}" for k in range(3000)))
+
+
 # ---- 3
 
 
@@ -239,6 +272,64 @@ def test_sentencepiece(docs, empty):
     assert row.ends[-1] == len(row_text)
 
 
+def brute_span_digest(library, text):
+    """Each piece found in the text in turn: the mark for a space, a byte piece for a byte, the dummy prefix for nothing."""
+    data, at, spans = text.encode(), 0, []
+    for n, k in enumerate(library.encode(text)):
+        piece = library.id_to_piece(k)
+        own = bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
+        if n == 0 and own.startswith(b" "):
+            own = own[1:]
+        assert data[at : at + len(own)] == own
+        spans.append((at, at + len(own)))
+        at += len(own)
+    assert at == len(data)
+    return hashlib.sha256(np.array(spans, "<i8").tobytes()).hexdigest()
+
+
+def test_spans_piece_by_piece(docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=SP.default_model())
+    want = Counter((i, brute_span_digest(library, t or "")) for i, t, *_ in corpus())
+    assert by_row(SP.sp_digests(docs).collect(), "spans_sha256") == want
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_model_with_character_map(spark, tmp_path, rule):
+    """A model whose compiled map is filled, end to end: the library's ids, and its own offsets of each piece."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, rules = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(SP.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(rules.normalizer_spec)
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ｆｕｌｌ ①② words", "ﬁne　x  y", "Größe ÉA  b ", "㌔ 株式", "plain text here", " ", "", "a ㌔㌔ b"]
+    got = {r.doc_id: r for r in SP.sp_encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for k, text in enumerate(texts):
+        pieces = library.encode(text, return_type="proto").pieces
+        assert got[k].ids == [p.id for p in pieces]
+        assert (np.diff(got[k].starts) >= 0).all() and all(a <= b for a, b in zip(got[k].starts, got[k].ends))
+        # of a character's byte pieces the library gives all its bytes to the last
+        mapped = [(a, b, p.begin, p.end) for a, b, p in zip(got[k].starts, got[k].ends, pieces) if not p.piece.startswith("<0x")]
+        assert all(x[:2] == x[2:] for x in mapped), (text, mapped)
+
+
+def test_unknown_pieces_have_spans():
+    codec = SP.Codec(SP.default_model())
+    codec.sizes = codec.sizes.copy()
+    codec.unknown = codec.library.piece_to_id("▁")
+    for ids, norm in (([codec.unknown, codec.library.piece_to_id("a")], "☃☃a".encode()), ([codec.unknown], "☃".encode()), ([codec.library.piece_to_id("a")], b"b")):
+        starts, ends = codec._slow_spans(norm, ids, norm, np.arange(len(norm) + 1))
+        assert len(starts) == len(ids) and starts[0] == 0 and (starts[1:] == ends[:-1]).all()
+
+
 def test_character_map():
     """The compiled map of a rule that the library knows, against the library's own normaliser."""
     import sentencepiece
