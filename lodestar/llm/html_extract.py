@@ -1,8 +1,9 @@
 """HTML extraction by the maximum-scoring subsequence.
 
 Words score by the element that they stand in and tags score negative, with weights learnt from labelled pages: pages whose
-markup names their article. One linear scan finds the contiguous region of highest score; its blocks, without the parts
-that are boilerplate by their element, are the main text.
+markup names their article. Class names, ids and roles have weights too: words of their elements inside and outside of
+articles. One linear scan finds the contiguous region of highest score; its blocks, without the parts that are boilerplate
+by their element or their marks' weight, are the main text.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import raw, slices, utf8
+from lodestar.llm.common import raw, slices, utf8, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']++|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S
@@ -37,17 +39,31 @@ BOILER = {
     "footer", "fieldset", "datalist", "search", *RAW,
 }
 BOILER_OUTSIDE = {"header"}
-BOILER_MARK = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe\w*|"
-    r"signup|login|social|share|sharing|related|recommend\w*|sidebars?|widgets?|menus?|nav\w*|breadcrumbs?|toc|pager|pagination|footer|masthead|"
-    r"comments?|reply|replies|respond|discuss\w*|disqus|search\w*|skip|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])"
+#: Parts of class names, ids and roles that name boilerplate, and such as say nothing of an element's content.
+BOILER_WORDS = re.compile(
+    r"ads?|advert\w*|adbox|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletters?|subscribe\w*|subscription|"
+    r"signup|login|social|share|sharing|related|recommend\w*|sidebars?|widgets?|menus?|nav\w*|breadcrumbs?|toc|pager|pagination|footer|masthead|teasers?|"
+    r"comments?|reply|replies|respond|discuss|discussions?|disqus|search\w*|skip|toolbar|complementary|contentinfo"
 )
-#: Marks that tell of the page's layout, not of what an element is.
-LAYOUT_MARK = re.compile(r"(?i)(?:^|(?<=\s))(?:with|has|no|without)[_-][\w-]+")
+NEUTRAL_WORDS = set(
+    """area bar block body bottom box btn button buttons card cards center class col column container content cta entry feed field footer form global group head header icon icons id inner item items
+    js large layout left link links list lists main media mobile module nested one outer page pages panel placeholder policy post posts primary right row secondary section side site small story stories
+    sub tab tabs text thread three title tools top two ul unit user view widget wide wrap wrapper""".split()
+)
+#: With one of these in front a mark tells of the page's layout, not of what its element is.
+LAYOUT_MARK = re.compile(r"(?:with|has|no|without)[_-]")
+PARTS = re.compile(r"[a-z]+")
+#: A mark that doesn't name boilerplate counts as such where its weight is below this. No more marks than these have a
+#: weight of their own, those with most words first; others have the prior's.
+MARK_LIMIT, MOST_MARKS, MARK_PRIOR = -2.0, 10_000, (20.0, 5.0)
+#: So many keys are counted in a task before they are handed on.
+MOST_KEYS = 100_000
 #: Words in the document before any page is counted: inside and outside of articles, by kind of element.
 PRIOR = {"boiler": (0.5, 30.0), "link": (3.0, 6.0), "text": (20.0, 5.0), "other": (6.0, 5.0)}
 #: Boilerplate elements are left out of a region, so they count little against going on behind them.
 MOST_WEIGHT, TAG_PRIOR, LEFT_OUT = 4.0, 0.3, 0.25
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ENDS_PARAGRAPH = {"p", "div", "ul", "ol", "article", "section", "footer", "aside", "nav", "header", "h1", "h2", "h3", "table", "form", "blockquote"}
 KNOWN = INLINE | BOILER | VOID | set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address center details summary".split()
 )
@@ -62,20 +78,63 @@ class Segment:
         self.text, self.key, self.inside, self.breaks, self.boiler = text, key, inside, breaks, boiler
 
 
-def segments(page: str) -> list[Segment]:
+def named_boiler(mark: str) -> bool:
+    """Whether a mark names boilerplate: all its parts do, or say nothing, and one does."""
+    parts = PARTS.findall(mark)
+    return not LAYOUT_MARK.match(mark) and any(map(BOILER_WORDS.fullmatch, parts)) and all(x in NEUTRAL_WORDS or BOILER_WORDS.fullmatch(x) for x in parts)
+
+
+def marks_of(token: str) -> list[str]:
+    return [x for found in MARKS.findall(token) for x in "".join(found).lower().split()] if "=" in token else []
+
+
+class Open:
+    """An open element. words: of its text inside and outside of articles."""
+
+    __slots__ = ("name", "boiler", "inside", "block", "marks", "words")
+
+    def __init__(self, name: str, boiler: bool, inside: bool, block: str, marks: list[str]) -> None:
+        self.name, self.boiler, self.inside, self.block, self.marks, self.words = name, boiler, inside, block, marks, [0, 0]
+
+
+def segments(page: str, is_boiler: Callable[[str], bool] = named_boiler, counted: dict | None = None) -> list[Segment]:
+    """Texts and tags in order. counted: takes in the words of each mark's elements, inside and outside of articles.
+
+    Every element is opened and closed once, so the time is linear in the page, however deep it nests.
+    """
     out: list[Segment] = []
-    #: (name, boilerplate from here on, in an article from here on) of open elements
-    stack: list[tuple[str, bool, bool]] = []
-    boiler = inside = False
+    stack: list[Open] = []
+    open_names: Counter[str] = Counter()
+    #: Positions in the stack of elements that aren't inline.
+    block_at: list[int] = []
+    bottom = Open("", False, False, "body", [])
     at, end = 0, len(page)
+
+    def pop() -> Open:
+        gone = stack.pop()
+        open_names[gone.name] -= 1
+        if block_at and block_at[-1] == len(stack):
+            block_at.pop()
+        if counted is not None:
+            above = (stack[-1] if stack else bottom).words
+            for k in (0, 1):
+                above[k] += gone.words[k]
+            for mark in gone.marks:
+                own = counted.setdefault(("mark", mark), [0, 0])
+                own[0] += gone.words[0]
+                own[1] += gone.words[1]
+        return gone
+
     while at < end:
         m = TOKEN.match(page, at)
         token, at = m[0], m.end()
+        now = stack[-1] if stack else bottom
         if token[0] != "<" or token == "<":
-            block = next((x for x, _, _ in reversed(stack) if x not in INLINE), "body")
-            linked = any(x == "a" for x, _, _ in stack[-4:])
-            key = "boiler" if boiler else ("link:" if linked else "text:") + (block if block in KNOWN else "other")
-            out.append(Segment(token, key, inside, False, boiler))
+            linked = any(x.name == "a" for x in stack[-4:])
+            key = "boiler" if now.boiler else ("link:" if linked else "text:") + (now.block if now.block in KNOWN else "other")
+            out.append(Segment(token, key, now.inside, False, now.boiler))
+            if counted is not None:
+                now.words[not now.inside] += len(token.split())
             continue
         named = NAME.match(token)
         if not named:
@@ -83,42 +142,48 @@ def segments(page: str) -> list[Segment]:
         name = named[1].lower()
         known = name if name in KNOWN else "other"
         if token[1] == "/":
-            if any(x == name for x, _, _ in stack):
-                while stack.pop()[0] != name:
+            if open_names[name]:
+                while pop().name != name:
                     pass
             elif name != "p":
                 continue
-            boiler, inside = stack[-1][1:] if stack else (False, False)
-            out.append(Segment(None, known, inside, name not in INLINE, boiler))
+            now = stack[-1] if stack else bottom
+            out.append(Segment(None, known, now.inside, name not in INLINE, now.boiler))
             continue
-        if name not in INLINE and stack and stack[-1][0] in ("p", *INLINE) and name in ("p", "div", "ul", "ol", "article", "section", "footer", "aside", "nav", "header", "h1", "h2", "h3", "table", "form", "blockquote"):
+        if name in ENDS_PARAGRAPH and block_at and stack[block_at[-1]].name == "p":
             # such an element ends an open paragraph, with what is open in it
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
-            if k >= 0 and stack[k][0] == "p":
-                del stack[k:]
-                boiler, inside = stack[-1][1:] if stack else (False, False)
-        marked = [a or b or c for a, b, c in MARKS.findall(token)] if "=" in token else []
-        own = name in BOILER or name in BOILER_OUTSIDE and not inside or name not in ("html", "body", "main") and any(BOILER_MARK.search(LAYOUT_MARK.sub(" ", x)) for x in marked)
+            for _ in range(len(stack) - block_at[-1]):
+                pop()
+            now = stack[-1] if stack else bottom
+        marks = marks_of(token)
+        # marks of a heading inside an article tell of its section's name
+        judged = [] if name in ("html", "body", "main") or now.inside and name in HEADINGS else marks
+        own = name in BOILER or name in BOILER_OUTSIDE and not now.inside or any(map(is_boiler, judged))
         # an article inside of comments or teasers, or marked as one, is none
-        within = inside or name == "article" and not own and not boiler
-        out.append(Segment(None, known, within, name not in INLINE, boiler or own))
+        within = now.inside or name == "article" and not own and not now.boiler
+        out.append(Segment(None, known, within, name not in INLINE, now.boiler or own))
         if name in RAW:
             closing = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = closing.end() if closing else end
         elif name not in VOID and not token.endswith("/>"):
-            boiler, inside = boiler or own, within
-            stack.append((name, boiler, inside))
+            if name not in INLINE:
+                block_at.append(len(stack))
+            stack.append(Open(name, now.boiler or own, within, now.block if name in INLINE else name, marks if counted is not None else []))
+            open_names[name] += 1
+    while counted is not None and stack:
+        pop()
     return out
 
 
 def counts(page: str) -> dict[tuple[str, str], list[int]]:
-    """Of a labelled page, words by key and tags by name, inside and outside its article; nothing for other pages."""
-    parts = segments(page)
+    """Of a labelled page, words by key and by mark and tags by name, inside and outside its article; nothing for other pages."""
     found: dict[tuple[str, str], list[int]] = {}
-    if any(x.inside for x in parts):
-        for x in parts:
-            own = found.setdefault(("tag", x.key) if x.text is None else ("word", x.key), [0, 0])
-            own[not x.inside] += 1 if x.text is None else len(x.text.split())
+    parts = segments(page, counted=found)
+    if not any(x.inside for x in parts):
+        return {}
+    for x in parts:
+        own = found.setdefault(("tag", x.key) if x.text is None else ("word", x.key), [0, 0])
+        own[not x.inside] += 1 if x.text is None else len(x.text.split())
     return found
 
 
@@ -127,6 +192,11 @@ class Weights:
         self.counted = counted
         self.words: dict[str, float] = {}
         self.tags: dict[str, float] = {}
+        a, b = MARK_PRIOR
+        self.boiler_marks = {mark for (kind, mark), (x, y) in counted.items() if kind == "mark" and math.log((x + a) / (y + b)) < MARK_LIMIT}
+
+    def boiler(self, mark: str) -> bool:
+        return mark in self.boiler_marks or named_boiler(mark)
 
     def word(self, key: str) -> float:
         """Log-odds that a word of this kind is content, with a prior's counts."""
@@ -158,7 +228,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    parts = segments(page)
+    parts = segments(page, weights.boiler)
     scores = [(weights.tag(x.key) if x.text is None else weights.word(x.key) * len(x.text.split())) * (LEFT_OUT if x.boiler else 1) for x in parts]
     a, b = best_region(scores)
     blocks, now = [], []
@@ -173,8 +243,9 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def learned_weights(pages: DataFrame) -> Weights:
-    """Counts of all labelled pages, summed in Spark; the keys are a fixed set, so few rows come to the driver."""
+    """Counts of all labelled pages, summed in Spark. To the driver come the fixed set of keys and MOST_MARKS marks at most."""
     kinds = pa.schema([("kind", pa.string()), ("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
+    batch_of = lambda total: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((*k, *v) for k, v in total.items())), kinds)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], list[int]] = {}
@@ -184,12 +255,16 @@ def learned_weights(pages: DataFrame) -> Weights:
                     own = total.setdefault(key, [0, 0])
                     own[0] += x
                     own[1] += y
+                if len(total) > MOST_KEYS:
+                    yield batch_of(total)
+                    total = {}
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((*k, *v) for k, v in total.items())), kinds)], schema=kinds)
+            yield batch_of(total)
 
     labelled = pages.where(F.lower("html").contains("<article")).select(raw("html").alias("html"))
-    summed = labelled.mapInArrow(run, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    return Weights({(x.kind, x.key): (float(x.inside), float(x.outside)) for x in summed.collect()})
+    summed = written(labelled.mapInArrow(run, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")))
+    fixed, marks = summed.where("kind != 'mark'"), summed.where("kind = 'mark'").orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(MOST_MARKS)
+    return Weights({(x.kind, x.key): (float(x.inside), float(x.outside)) for x in fixed.union(marks).collect()})
 
 
 def html_extract(pages: DataFrame) -> DataFrame:

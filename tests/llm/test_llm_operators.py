@@ -1,6 +1,7 @@
 """Each operator against a plain brute-force version, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import html as html_module
 import re
 import zlib
 from collections import Counter
@@ -689,6 +690,8 @@ PAGES = [
     (page("<article><p>Cut in the mid &am"), "Cut in the mid &am"),
     (page("<article><p>1 < 2 and <a href=\"/a>b\">a link</a>, x&lt;y</p></article><div class='cookie-notice'>We use cookies</div>"), "1 < 2 and a link, x<y"),
     (page("<div class='page with-sidebar'><article><h2>A title here</h2><p>Body words of the article follow.</p></article><section class='comments'><article><p>Nice one, thanks a lot.</p></article></section><article class='teaser promo'>Buy more of it</article></div>"), "A title here Body words of the article follow."),
+    (page('<article class="entry-content social-science"><p>Words of a social science paper, at some length.</p><h2 id="discussion">Discussion</h2><p>More words.</p></article>'), "Words of a social science paper, at some length. Discussion More words."),
+    (page('<article><p>Words of a paper, at some length.</p><section id="discussion-of-results"><p>The results are discussed.</p></section><div class="related-work"><p>Others did it too.</p></div><div class="ad-box">Buy</div></article>'), "Words of a paper, at some length. The results are discussed. Others did it too."),
     ("", ""), (None, ""), (page("<nav>only menu words</nav>"), ""), ("plain words without markup", "plain words without markup"),
 ]
 
@@ -701,6 +704,41 @@ def test_html(spark):
     assert H.html_extract(df.limit(0)).count() == 0
 
 
+def test_marks_are_learnt(spark):
+    """A class that always stands outside of articles is boilerplate on pages without one; one that holds articles is not."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k, "u", page(f"<div class='frame'><div class='kicker-zone'>{words(k, 40)}</div><article><div class='prose-zone'><p>{words(k, 90)}</p></div></article></div>")) for k in range(40)]
+    rows.append((99, "u", page("<div class='frame'><p>Before it some words.</p><div class='kicker-zone'><p>Read this and that and more of it.</p></div><div class='prose-zone'><p>The text goes on with more words.</p></div></div>")))
+    got = {r.page_id: r.text for r in H.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == "Before it some words. The text goes on with more words." and got[3] == words(3, 90)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    for body in ("<div>x " * 100_000, "<b>x " * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<p><i>x" * 50_000, "<div>x</div>" * 50_000):
+        H.segments(body)
+    assert time.time() - began < 15
+
+
+def brute_main_text(parts, weights):
+    """Every region scored by itself."""
+    score = [(weights.tag(x.key) if x.text is None else weights.word(x.key) * len(x.text.split())) * (H.LEFT_OUT if x.boiler else 1) for x in parts]
+    regions = [(sum(score[a:b]), -a, -b) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1)]
+    best = max(regions, default=(0, 0, 0))
+    chosen = parts[-best[1] : -best[2]] if best[0] > 1e-12 else []
+    blocks = "".join("\0" * x.breaks + (x.text if x.text is not None and not x.boiler else "") for x in chosen).split("\0")
+    return " ".join(y for x in blocks if (y := " ".join(html_module.unescape(x).split())))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "some words here", " a", "&amp;", "<a href='x'>", "</a>", "<b>", "</b>", "<br>", "<!-- c -->", "<"]), max_size=16).map("".join))
+def test_main_text_of_all_regions(text):
+    weights = H.Weights({})
+    assert H.main_text(text, weights) == brute_main_text(H.segments(text, weights.boiler), weights)
+
+
 def by_row_page(rows):
     return Counter((r.page_id, r.url, r.text, r.n_chars) for r in rows)
 
