@@ -139,7 +139,7 @@ class FrameHeader:
     """What stands before a frame's coded blocks: size, quantisation of the DC, and the two Huffman tables."""
 
     def __init__(self, data: bytes) -> None:
-        at, tables, quant = 2, {}, {}
+        at, tables, quant, which = 2, {}, {}, None
         while True:
             mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
@@ -325,19 +325,53 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[np.ndarray], float]]:
-    """Each media value's frames at 1/8 scale; all frames of the batch are decoded together."""
+#: What reading a damaged file may raise.
+DAMAGED = (ValueError, IndexError, KeyError, AttributeError, struct.error)
+
+
+def _read(media: bytes | None) -> tuple[list[bytes], float] | None:
+    try:
+        return read_avi(media) if media is not None else None
+    except DAMAGED:
+        return None
+
+
+def _blocks(frames: list[bytes]) -> list[np.ndarray] | None:
+    try:
+        return decode_frames(frames)
+    except DAMAGED:
+        return None
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[np.ndarray] | None, float]]:
+    """Each media value's frames at 1/8 scale, or none where it is null or damaged; a batch's frames are decoded together."""
     rows = batch.to_pylist()
-    read = [read_avi(x["media"]) for x in rows]
-    blocks = decode_frames([f for frames, _ in read for f in frames])
+    read = [_read(x["media"]) for x in rows]
+    together = _blocks([f for found in read if found for f in found[0]])
     at = 0
-    for row, (frames, rate) in zip(rows, read):
-        yield row, blocks[at : at + len(frames)], rate
-        at += len(frames)
+    for row, found in zip(rows, read):
+        if not found:
+            yield row, None, 0.0
+        elif together is None:
+            # one of the batch is damaged: each is tried by itself
+            yield row, _blocks(found[0]), found[1]
+        else:
+            yield row, together[at : at + len(found[0])], found[1]
+            at += len(found[0])
+
+
+def frame_histograms(blocks: list[np.ndarray]) -> np.ndarray:
+    """Histograms of frames of any sizes."""
+    if len({x.size for x in blocks}) == 1:
+        return histograms(np.stack([x.ravel() for x in blocks]))
+    return np.concatenate([np.zeros((0, BINS), np.int64), *(histograms(x.reshape(1, -1)) for x in blocks)])
 
 
 def media_clips(media: DataFrame) -> DataFrame:
-    """A row for each shot of media (doc_id, media): doc_id, clip, first_frame, last_frame, start_ms, end_ms. Null media: none."""
+    """A row for each shot of media (doc_id, media): doc_id, clip, first_frame, last_frame, start_ms, end_ms.
+
+    Null or damaged media, and media without frames: no row. Repeated rows give repeated rows; other columns are ignored.
+    """
     kinds = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +379,7 @@ def media_clips(media: DataFrame) -> DataFrame:
             for batch in slices(whole, "media", 3 * BATCH_BYTES):
                 rows = []
                 for row, blocks, rate in _decoded(batch):
-                    for k, (a, b) in enumerate(shot_bounds(histograms(np.stack([x.ravel() for x in blocks])))):
+                    for k, (a, b) in enumerate(shot_bounds(frame_histograms(blocks or []))):
                         rows.append((row["doc_id"], k, a, b, round(a * 1000 / rate), round((b + 1) * 1000 / rate)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
@@ -354,7 +388,12 @@ def media_clips(media: DataFrame) -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back from media (doc_id, n_bytes, media), a row each: payload and file digests, and the clips as a feature."""
+    """What is read back from media (doc_id, n_bytes, media), a row each: payload and file digests, and the clips as a feature.
+
+    Null or damaged media: null payload columns and the feature "unreadable"; of null media all media columns are null too.
+    Equal media, equal values. An empty table gives an empty result; other columns are ignored. A value is decoded whole, its
+    frames MOST_FRAMES at a time; a column's value ends at 2 GB.
+    """
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,11 +401,15 @@ def media_digests(media: DataFrame) -> DataFrame:
             for batch in slices(whole, "media", 3 * BATCH_BYTES):
                 rows = []
                 for row, blocks, rate in _decoded(batch):
-                    stacked = np.stack([x.ravel() for x in blocks])
-                    payload, hists = stacked.tobytes(), histograms(stacked)
+                    own = row["media"]
+                    file = (None, None) if own is None else (len(own), hashlib.sha256(own).hexdigest())
+                    if blocks is None:
+                        rows.append((row["doc_id"], row["n_bytes"], None, None, None, *file, "unreadable"))
+                        continue
+                    payload, hists = b"".join(x.tobytes() for x in blocks), frame_histograms(blocks)
                     clips = shot_bounds(hists)
                     feature = f"frames={len(blocks)};clips={len(clips)};ms={','.join(f'{round(a * 1000 / rate)}-{round((b + 1) * 1000 / rate)}' for a, b in clips)};hist={'.'.join(map(str, hists.sum(axis=0)))}"
-                    rows.append((row["doc_id"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(row["media"]), hashlib.sha256(row["media"]).hexdigest(), feature))
+                    rows.append((row["doc_id"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *file, feature))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
