@@ -25,7 +25,7 @@ BLOCK, SHARD_TOKENS, SEED = 64, 1 << 20, 42
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
     """Seats by highest quotients votes / (2 * seats + 1), ties to the earlier one, none above `most`.
 
-    A common divisor gives nearly all seats at once; the highest or lowest quotients at its edge settle the rest.
+    A common divisor gives nearly all seats at once; the highest of the quotients at its edge get the rest, one each.
     """
     votes = np.asarray(votes, float)
     most = np.full(len(votes), seats, np.int64) if most is None else np.asarray(most, np.int64)
@@ -42,9 +42,13 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
             break
         low, high = (mid, high) if give(mid).sum() >= seats else (low, mid)
     out = give(high)
-    while out.sum() < seats:
-        quotients = np.where(out < most, votes / (2 * out + 1), -1.0)
-        out[int(np.argmax(quotients))] += 1
+    while (left := seats - int(out.sum())) > 0:
+        edge = np.flatnonzero((out < most) & (votes > 0))
+        # only quotients that are all but equal are at the edge, so each takes one seat before any takes a second
+        quotients = votes[edge] / (2 * out[edge] + 1)
+        first = edge[np.lexsort((edge, -quotients))][:left]
+        top = quotients.max()
+        out[[k for k in first if votes[k] / (2 * out[k] + 1) >= top * (1 - 1e-9)]] += 1
     return out
 
 
@@ -108,13 +112,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     targets = written(source_targets(sizes, weights, share, most))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))
     placed = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("shard", F.pmod("ordered", shards))
-    line = placed.groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("length")).withColumn("most_blocks", (F.ceil(F.col("length") / block) * most).cast("long"))
-    # sources, then their shards, get integer quotas of blocks: one row a source, and one row a shard, meet in a task
+    # a source's shards are in groups, about as many as a group has shards, so that no task meets all shards of a large source
+    grouped = F.floor(F.col("shard") / F.ceil(F.sqrt(shards)))
+    line = written(
+        placed.groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("length"))
+        .select("source", grouped.cast("long").alias("part"), F.col("shard").cast("long").alias("shard"), "length", (F.ceil(F.col("length") / block) * most).cast("long").alias("most_blocks"))
+    )
+    # sources, then their groups of shards, then shards get integer quotas of blocks; one row for each source meets in a task
     total = F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     sources = targets.withColumn("seats", F.coalesce(F.round(total / block), F.lit(0)).cast("long")).withColumn("one", F.lit(1))
     quotas = sources.groupBy("one").applyInPandas(apportion("source", "target", "seats", None, "blocks"), "source string, source_size long, target double, seats long, one int, blocks long").select(F.col("source").alias("of"), "blocks")
-    dealt = line.join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    by_shard = dealt.groupBy("source").applyInPandas(apportion("shard", "length", "blocks", "most_blocks", "quota"), "source string, source_size long, target double, shard long, length long, most_blocks long, blocks long, quota long")
+    parts = line.groupBy("source", "part").agg(F.sum("length").alias("length"), F.sum("most_blocks").cast("long").alias("most_blocks")).join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    by_part = parts.groupBy("source").applyInPandas(apportion("part", "length", "blocks", "most_blocks", "quota"), "source string, part long, length long, most_blocks long, blocks long, quota long")
+    of_part = by_part.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.col("quota").alias("blocks"))
+    dealt = line.join(of_part, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).drop("of", "of_part")
+    by_shard = dealt.groupBy("source", "part").applyInPandas(apportion("shard", "length", "blocks", "most_blocks", "quota"), "source string, part long, shard long, length long, most_blocks long, blocks long, quota long")
     quota = by_shard.select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), "length", "quota")
     before = Window.partitionBy("source", "shard").orderBy("ordered", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     on_line = placed.withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("end", F.col("begin") + F.col("size"))
