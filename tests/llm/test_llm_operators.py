@@ -242,6 +242,28 @@ def test_secrets_of_one_class():
         assert not S.secret_spans(f"the secret phrase {clean} and more".encode())[2]
 
 
+def test_secrets_beside_a_corpus(spark):
+    """Drawn strings of 20 to 10,000 characters are found and leave no tail, with the corpus's own words as dictionary."""
+    rng = np.random.default_rng(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + digits, lower + lower.upper() + digits, lower.upper() + "234567", lower + lower.upper() + digits + "+/"]
+    prose = [" ".join(f"Configuration{''.join(rng.choice(list(lower[:9]), 3))}" for _ in range(40)) for _ in range(60)]
+    planted, rows = {}, []
+    for k in range(120):
+        own = "".join(rng.choice(list(alphabets[k % 4]), (20, 33, 64, 200, 300, 1000, 10_000)[k % 7]))
+        planted[k] = own
+        rows.append((k, f"{prose[k % 60]} the bearer credential is {own} and {prose[k % 59]}"))
+    rows += [(1000 + k, f"{x} the private access path is {x.split()[3]} and so on") for k, x in enumerate(prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.secret_scan(docs).collect()}
+    assert sum(got[k].n_novel for k in range(120)) >= 115 and sum(got[1000 + k].n_novel for k in range(60)) == 0
+    texts = {r.doc_id: r.text for r in S.secret_scan(docs, redacted=True).collect()}
+    found = [k for k in planted if got[k].n_novel]
+    assert all(planted[k][-12:] not in texts[k] and planted[k][:12] not in texts[k] for k in found)
+    words = S.corpus_words(docs).split()
+    assert len(words) <= S.DICTIONARY_WORDS and b"bearer" in words and words == S.corpus_words(docs.repartition(5)).split()
+
+
 def test_redaction(docs):
     out = S.secret_scan(docs, redacted=True)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -362,6 +384,20 @@ def test_media(docs, empty):
     assert M.media_digests(M.to_media(empty)).count() == 0
 
 
+def test_clips_and_damaged_media(spark):
+    frames = b"".join(bytes([v]) * M.UNIT for v in [10] * 5 + [200] * 4 + [90] * 3)
+    good = M.write_avi(frames)
+    rows = [(1, good), (2, None), (3, b""), (4, b"RIFF"), (5, good[: len(good) // 2]), (6, good.replace(b"idx1", b"none")), (7, good.replace(b"\xff\xc0", b"\xff\xc9")), (1, good), (None, M.write_avi(M.padded(b"x")))]
+    media = spark.createDataFrame([(i, 0, x, "z") for i, x in rows], "doc_id long, n_bytes long, media binary, clip string").repartition(2)
+    clips = sorted(((r.doc_id or 0, r.clip, r.first_frame, r.last_frame, r.start_ms, r.end_ms) for r in M.media_clips(media).collect()))
+    own = [(1, 0, 0, 4, 0, 200), (1, 1, 5, 8, 200, 360), (1, 2, 9, 11, 360, 480)]
+    assert clips == sorted([*own, *own, (0, 0, 0, 0, 0, 40)])
+    got = {r.doc_id: r for r in M.media_digests(media).collect()}
+    assert got[1].payload_sha256 == hashlib.sha256(frames).hexdigest() and "clips=3;ms=0-200,200-360,360-480" in got[1].feature
+    assert all(got[k].feature == "unreadable" and got[k].payload_sha256 is None for k in (2, 3, 4, 5, 6, 7))
+    assert got[2].media_bytes is None and got[4].media_bytes == 4
+
+
 def test_all_bytes_and_pixels():
     rng = np.random.default_rng(0)
     payload = rng.integers(0, 256, 3 * M.UNIT).astype(np.uint8).tobytes()
@@ -628,6 +664,64 @@ def test_gradients():
         down = net.forward(x, mask)[0].sum()
         v[at] = old
         assert abs((up - down) / (2 * e) - grads[k][at]) < 1e-3
+    at = (3, 2, 0)
+    up, down = (net.forward(np.where(np.arange(x.size).reshape(x.shape) == np.ravel_multi_index(at, x.shape), x + d, x), mask)[0].sum() for d in (1e-4, -1e-4))
+    assert abs((up - down) / 2e-4 - grads["x"][at]) < 1e-3
+
+
+def brute_forward(p, rows):
+    """One window, step by step and number by number."""
+    import math
+
+    s = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda w, v: sum(float(a) * b for a, b in zip(w, v))
+    h, both = T.HIDDEN, []
+    for way in "fb":
+        state, states = [0.0] * h, []
+        for x in rows if way == "f" else rows[::-1]:
+            a = [dot(p["W" + way][k], x) + float(p["c" + way][k, 0]) for k in range(3 * h)]
+            b = [dot(p["U" + way][k], state) for k in range(3 * h)]
+            z, r = [s(a[k] + b[k]) for k in range(h)], [s(a[h + k] + b[h + k]) for k in range(h)]
+            new = [math.tanh(a[2 * h + k] + r[k] * b[2 * h + k]) for k in range(h)]
+            state = [z[k] * state[k] + (1 - z[k]) * new[k] for k in range(h)]
+            states.append(state)
+        both.append(states if way == "f" else states[::-1])
+    H = [f + b for f, b in zip(*both)]
+    e = [dot(p["v"][0], [math.tanh(dot(p["A"][k], v) + float(p["a"][k, 0])) for k in range(h)]) for v in H]
+    w = [math.exp(x - max(e)) for x in e]
+    pooled = [sum(a * v[k] for a, v in zip(w, H)) / sum(w) for k in range(2 * h)]
+    return s(dot(p["o"][0], pooled) + float(p["k"][0, 0]))
+
+
+def test_scores_of_all_windows():
+    """A text's score is the greatest of its windows', each computed plainly from the words' own vectors."""
+    rng = np.random.default_rng(1)
+    model = T.Model(T.Evidence(*rng.normal(0, 0.3, (2, T.BUCKETS)).astype(np.float32)), T.Network(), T.Embeddings(*rng.normal(0, 0.3, (2, T.BUCKETS, T.EMBED)).astype(np.float32)))
+    texts = [" ".join(f"w{chr(97 + int(x))}{'xyz'[int(x) % 3] * int(x % 4)}" for x in rng.integers(0, 26, n)).encode() for n in (1, 5, 64, 65, 130)]
+    for text, score in zip(texts, model.score(texts)):
+        words = T.words_of([text])
+        ends = [*words.first_gram[1:], len(words.grams)]
+        rows = []
+        for k, (a, b) in enumerate(zip(words.first_gram, ends)):
+            own = model.evidence.gram[words.grams[a:b]]
+            rows.append([model.evidence.word[words.word[k]], own.mean(), own.max(), *model.embeddings.word[words.word[k]], *model.embeddings.gram[words.grams[a:b]].mean(axis=0)])
+        starts = [k for k in range(0, len(rows), T.STRIDE) if k == 0 or k - T.STRIDE + T.LENGTH < len(rows)]
+        assert abs(max(brute_forward(model.network.p, rows[k : k + T.LENGTH]) for k in starts) - score) < 1e-4
+
+
+def test_words_share_buckets_by_spelling():
+    words = T.words_of([b"Good good, b\xc3\xa9d", b"good"])
+    assert words.counts.tolist() == [3, 1] and len(set(words.word[[0, 1, 3]].tolist())) == 1 and words.word[2] != words.word[0]
+    gathering = T.Vocabulary()
+    first, again = gathering.add(words), gathering.add(T.words_of([b"new good"]))
+    assert first.tolist()[0] == first.tolist()[1] == first.tolist()[3] == again.tolist()[1] and len(gathering.words().word) == 3
+
+
+def test_labels_that_contradict(spark):
+    docs = spark.createDataFrame([(k, f"words {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k in range(30) for y in ((0, 1) if k % 2 else (1, 0))], "doc_id long, toxic int")
+    texts, got = T.training_rows(docs, labels)
+    assert len(texts) == sum(T.crc_remainder(k) != 1 for k in range(30)) and got.all()
 
 
 # ---- 8
@@ -670,6 +764,27 @@ def test_bad_host(spark):
     assert {r.doc_id for r in Q.quality_filter(docs).collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_host_of_symbols_and_repeated_lines(spark):
+    """Rules that reject no document by themselves reject a host where most documents fail them; its few good ones go too."""
+    good = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(k, "# | < > " + good(k), "marks") for k in range(90)] + [(90 + k, good(90 + k), "marks") for k in range(10)]
+    rows += [(200 + k, "\n".join([good(k), f"one line {k}", f"one line {k}"]), "lines") for k in range(100)]
+    rows += [(1000 + k, good(k) if k % 7 else "# | < > " + good(k), f"h{k % 9}") for k in range(900)]
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[k].base_failed for k in got)
+    assert not any(got[k].kept for k in range(300) if k in got) and all(got[1000 + k].kept for k in range(900))
+
+
+def test_beta_prior():
+    """Moments against hosts drawn from a beta distribution."""
+    rng = np.random.default_rng(2)
+    p, n = rng.beta(2, 8, 4000), rng.integers(50, 400, 4000)
+    f = rng.binomial(n, p)
+    a, b = Q.beta_prior(int(n.sum()), len(n), float(f.sum()), float((f * f / n).sum()))
+    assert abs(a - 2) < 0.3 and abs(b - 8) < 1.2 and Q.beta_prior(0, 0, 0, 0) == (1.0, 1.0)
+    assert Q.host_limit(2, 8) == pytest.approx(0.2 + 4 * (16 / (100 * 11)) ** 0.5) and Q.host_limit(1, 99) == 0.5 and Q.host_limit(1, 1) == 0.75
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "é", " ", "\n", "#", " ", "\x0b", "a b c d e ", "|"]), max_size=40).map("".join))
 def test_measures(text):
@@ -806,6 +921,15 @@ def test_sainte_lague(votes, seats):
     assert got.sum() == sum(want) and np.allclose(quotient(got), quotient(want))
 
 
+def test_equal_votes_are_quick():
+    import time
+
+    began = time.time()
+    assert X.sainte_lague(np.full(200_000, 7.0), 300_001).sum() == 300_001
+    assert np.bincount(X.sainte_lague(np.full(1000, 7.0), 1500)).tolist() == [0, 500, 500]
+    assert time.time() - began < 5
+
+
 def test_seats_stay_below_most():
     assert X.sainte_lague(np.array([5.0, 5.0, 0.0]), 9, np.array([2, 4, 9])).tolist() == [2, 4, 0]
 
