@@ -85,3 +85,8 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or new_path(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Frees a written table's space, once nothing reads it any more."""
+    spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(path)

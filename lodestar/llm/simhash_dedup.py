@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from lodestar.llm.common import mix64, raw, slices, written
+from lodestar.llm.common import emptied, mix64, new_path, raw, slices, written
 from lodestar.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -136,8 +136,8 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that a sample of one in SAMPLE texts has OFTEN times are put last in the order, MOST_OFTEN of them at most. Any
 #: order finds all pairs; one with rare shingles first finds few others.
 SAMPLE, OFTEN, MOST_OFTEN = 16, 3, 1 << 20
-#: Bits of a parity sketch: two differ in no more bits than their sets differ in shingles.
-PARITY_BITS = 1024
+#: Bits of a parity sketch for each shingle, and at least: two differ in no more bits than their sets differ in shingles.
+PARITY_RATE, LEAST_PARITY = 2.5, 256
 #: From round to round a shingle has so many times more holders.
 SALTS = 8
 
@@ -173,8 +173,16 @@ def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.nda
 
 
 def parity(own: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each bit, as 64-bit numbers."""
-    return np.packbits((np.bincount(own & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+    """Whether an odd number of shingles falls on each bit, as 64-bit numbers. A power of two of bits, so that the sketch of a
+    larger set folds to the width of a smaller one's."""
+    bits = max(LEAST_PARITY, 1 << math.ceil(math.log2(PARITY_RATE * len(own))))
+    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(bits: Column, width: Column) -> Column:
+    """A sketch at half its width, where it is wider than `width` numbers."""
+    half = F.zip_with(F.slice(bits, F.lit(1), width), F.slice(bits, width + 1, width), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > width, half).otherwise(bits)
 
 
 def text_key(text: bytes) -> bytes:
@@ -212,10 +220,12 @@ def ordered(met: DataFrame) -> DataFrame:
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose sizes and parity sketches don't rule out that they are `similarity` alike; no such pair goes."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sizes that pass differ by a quarter at most, so that of their sketches one is twice as wide at most
+    width = F.least(F.size("bits_a"), F.size("bits_b"))
+    differ = F.aggregate(F.zip_with(folded(F.col("bits_a"), width), folded(F.col("bits_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
     sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (differ <= most)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).where(differ <= most).select("a", "b")
 
 
 def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
@@ -240,21 +250,28 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
                 batch = batch.filter(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "own"])
 
-    rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"))
+    spark = docs.sparkSession
+    # tables that a later step writes over, or that are emptied once they have served
+    path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "pairs", "ends", "own")}
+    rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"), path["rows"])
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
-    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"))
-    live = written(first_holders(nodes))
+    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"), path["nodes"])
+    rows = written(rows.select("doc_id", "key"))
+    emptied(spark, path["rows"])
+    live = written(first_holders(nodes), path["live"])
+    nodes = written(nodes.drop("prefix"))
+    emptied(spark, path["nodes"])
 
     def exact(tokens_met: DataFrame) -> DataFrame:
         """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
-        pairs = written(possible(tokens_met, nodes, similarity))
+        pairs = written(possible(tokens_met, nodes, similarity), path["pairs"])
         if pairs.isEmpty():
-            return pairs
-        ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+            return spark.createDataFrame([], "a long, b long")
+        ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), path["ends"])
         # of equal texts one does; another text with this hash stays until its key is looked at
         met = texts.join(ends, "hash").withColumn("more", F.xxhash64(F.lit(1), "text")).dropDuplicates(["node", "more"])
-        own = written(met.select("node", "key", "text").mapInArrow(sets, "node long, own array<long>"))
+        own = written(met.select("node", "key", "text").mapInArrow(sets, "node long, own array<long>"), path["own"])
         side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
         shared = F.size(F.array_intersect("own_a", "own_b"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b"))
@@ -267,11 +284,12 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     while True:
         live = live.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
         several = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        live = written(live.join(several, "token"))
+        live = written(live.join(several, "token"), path["next"])
+        path["live"], path["next"] = path["next"], path["live"]
         if live.isEmpty():
             break
         holders = live.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "root")).alias("x"))
-        holders = written(holders.select("token", F.col("x.node").alias("holder"), F.col("x.root").alias("of")))
+        holders = written(holders.select("token", F.col("x.node").alias("holder"), F.col("x.root").alias("of")), path["holders"])
         met = written(ordered(live.join(holders, "token").where("root != of")).join(tried, ["a", "b"], "left_anti"))
         more = exact(met)
         if not more.isEmpty():
