@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import raw, written
@@ -52,6 +52,11 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return out
 
 
+def seeded() -> Column:
+    """A seeded order of rows with doc_id, text and source; rows that are equal in these share it."""
+    return F.xxhash64(F.lit(SEED), *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("doc_id", "text")), F.col("source").isNull(), F.col("source").cast("string"))
+
+
 def word_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and a seeded order for each row."""
     import pyarrow as pa
@@ -61,7 +66,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
             sizes = [len(x.split()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64()), batch.column("ordered")], names=["doc_id", "source", "size", "ordered"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), raw("text").alias("text"), F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("ordered"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), raw("text").alias("text"), seeded().alias("ordered"))
     return rows.mapInArrow(run, "doc_id long, source string, size long, ordered long")
 
 
@@ -151,10 +156,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents without a word go: they add nothing to a mix. Null sources are a source of their own. Rows that repeat another
     are taken as often as all of them together.
     """
-    keyed = docs.withColumn("__ordered", F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__ordered", seeded())
     times = mix(docs, **options).withColumn("times", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
-    # rows that repeat share a key: their copies are summed, and come from one of them
-    wanted = times.groupBy("ordered", "source").agg(F.sum("times").cast("int").alias("__times")).where("__times > 0").select(F.col("ordered").alias("__key"), F.col("source").alias("__source"), "__times")
-    one = keyed.dropDuplicates(["__ordered", "source"])
-    same = (F.col("__ordered") == F.col("__key")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    return one.join(wanted, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    # rows that repeat share a key: their copies are summed, and come from one of them; one exchange of texts serves both
+    wanted = times.groupBy("ordered").agg(F.sum("times").cast("int").alias("__times")).where("__times > 0").withColumnRenamed("ordered", "__ordered")
+    one = keyed.dropDuplicates(["__ordered"])
+    return one.join(wanted, "__ordered").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
