@@ -207,25 +207,31 @@ def often_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def first_holders(nodes: DataFrame) -> DataFrame:
-    """nodes: node, prefix. token, node, holder for each shingle of two prefixes or more; holder is its least node."""
+    """nodes: node, prefix. token, node, holder, several for each shingle of two prefixes or more; holder is its least node,
+    several tells whether it has more than one other."""
     index = nodes.select("node", F.explode("prefix").alias("token"))
-    holder = index.groupBy("token").agg(F.min("node").alias("holder"), F.max("node").alias("last")).where("holder < last").select("token", "holder")
-    return index.join(holder, "token").select("token", "node", "holder")
+    ends = index.groupBy("token").agg(F.min("node").alias("holder"), F.max("node").alias("last"), F.count("*").alias("n")).where("holder < last")
+    return index.join(ends.select("token", "holder", (F.col("n") > 2).alias("several")), "token").select("token", "node", "holder", "several")
 
 
 def ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
 
 
+def sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sizes don't rule out that they are `similarity` alike."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sizes and parity sketches don't rule out that they are `similarity` alike; no such pair goes."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
-    # sizes that pass differ by a quarter at most, so that of their sketches one is twice as wide at most
+    """Of sized pairs, those whose parity sketches don't rule out that they are `similarity` alike; no such pair goes."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"))
+    # such sizes differ by a quarter at most, so that of their sketches one is twice as wide at most
     width = F.least(F.size("bits_a"), F.size("bits_b"))
     differ = F.aggregate(F.zip_with(folded(F.col("bits_a"), width), folded(F.col("bits_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
-    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).where(differ <= most).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b")
 
 
 def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +258,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
 
     spark = docs.sparkSession
     # tables that a later step writes over, or that are emptied once they have served
-    path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "pairs", "ends", "own")}
+    path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "sized", "pairs", "ends", "own")}
     rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"), path["rows"])
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
@@ -265,7 +271,8 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
 
     def exact(tokens_met: DataFrame) -> DataFrame:
         """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
-        pairs = written(possible(tokens_met, nodes, similarity), path["pairs"])
+        pairs = written(sized(tokens_met, nodes, similarity), path["sized"])
+        pairs = written(possible(pairs, nodes, similarity), path["pairs"])
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
         ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), path["ends"])
@@ -279,8 +286,9 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     tried = written(ordered(live.where("node != holder")))
     alike = exact(tried)
     roots = components(alike)
-    # a shingle is done with once all texts that weren't its holder are of one root; until then more of them become holders
-    live, salts = live.where("node != holder").select("token", "node"), SALTS
+    # a shingle of two texts is done with now, others once all texts that weren't its holder are of one root; until then more
+    # of them become holders
+    live, salts = live.where("node != holder and several").select("token", "node"), SALTS
     while True:
         live = live.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
         several = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
