@@ -130,14 +130,17 @@ def mention_terms(notes: DataFrame, fields: list[str]) -> DataFrame:
 def text_mentions(lines: DataFrame, terms: DataFrame, links: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Plain-text mentions: keys, target, term. lines: keys, text. terms: target, term. links: keys, target, left out.
 
-    A theta join would compare every line with every term. Here both meet on the term's first word, which each line has
-    once for each distinct word. A term of one word is found by that; longer ones are verified in their line, as literal
+    A theta join would compare every line with every term. Here both meet on that word of the term which the fewest lines
+    have; each line has a word once. A term of one word is found by that; longer ones are verified in their line, as literal
     text between non-letters, in any script. Lines' texts don't travel with their words.
     """
     keys = keys or ["path", "line"]
     words = lines.select(*keys, F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    first = terms.withColumn("word", F.element_at(tokens("term"), 1)).where("word is not null").withColumn("single", F.lower("term") == F.col("word"))
-    met = words.join(first, "word").select(*keys, "target", "term", "single")
+    of_terms = terms.select("target", "term", F.explode(F.array_distinct(tokens("term"))).alias("word"))
+    often = words.join(of_terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = of_terms.join(often, "word", "left").groupBy("target", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
+    rarest = rarest.select("target", "term", F.col("x.word").alias("word")).withColumn("single", F.lower("term") == F.col("word"))
+    met = words.join(rarest, "word").select(*keys, "target", "term", "single")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.regexp_replace("term", r"\\E", ""), F.lit(r"\E(?![\p{L}\p{N}_])"))
     longer = met.where("not single").join(lines.select(*keys, "text"), keys).where(F.rlike("text", pattern))
     found = met.where("single").select(*keys, "target", "term").unionByName(longer.select(*keys, "target", "term")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import is_set, iso_date, mixed_script, two_scripts_in_word
 from lodestar.operators import graph as G
-from lodestar.sources.notes import Vault, field_value, has_field
+from lodestar.sources.notes import NoteTables, Vault, field_value, has_field
 from lodestar.sources.registries import Settings, pairs
 
 STRUCTURAL, HEURISTIC = "structural", "heuristic"
@@ -78,11 +78,12 @@ def cover_embedded(notes: DataFrame, embeds: DataFrame) -> DataFrame:
     return issue(cover.join(embeds.select("path", "file"), ["path", "file"], "left_anti"), "cover-ref", "ERROR", F.col("file"))
 
 
-def progress(notes: DataFrame) -> DataFrame:
+def progress(notes: DataFrame, kinds: list[str]) -> DataFrame:
+    """A watched record's status against its counts, for notes of the given kinds."""
     status, episodes, seen, times = field_value("personal_status"), field_value("episodes", "int"), field_value("last_episode_watched", "int"), field_value("times_watched", "int")
     done = status.isin("completed", "favorite")
     bad = (done & is_set(episodes) & (episodes > 0) & ~seen.eqNullSafe(episodes)) | ((status == "plan-to-watch") & seen.isNotNull()) | (status.isin("completed", "favorite", "watching") & (F.coalesce(times, F.lit(0)) < 1))
-    return issue(notes.where((F.col("note_kind") == "anime") & F.coalesce(bad, F.lit(False))), "progress", "WARN", status)
+    return issue(notes.where(F.col("note_kind").isin(*kinds) & F.coalesce(bad, F.lit(False))), "progress", "WARN", status)
 
 
 def dependent_fields(notes: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def drift(notes: DataFrame, changelog: DataFrame) -> DataFrame:
     return issue(gaps.where(older), "schema-drift", "INFO", F.col("requirement")).unionByName(issue(gaps.where(~older), "requirement", "ERROR", F.col("requirement")))
 
 
-def lint(vault: Vault, settings: Settings, enums: DataFrame | None = None, canon: DataFrame | None = None, changelog: DataFrame | None = None, target: str | None = None, show_all: bool = False) -> DataFrame:
+def lint(vault: Vault | NoteTables, settings: Settings, enums: DataFrame | None = None, canon: DataFrame | None = None, changelog: DataFrame | None = None, target: str | None = None, show_all: bool = False) -> DataFrame:
     """All issues: structural ones, and with show_all the heuristic stream beside them. target: one note's name."""
     notes, lines, spark = vault.notes, vault.lines, vault.spark
     links, embeds = vault.links, vault.embeds
@@ -168,7 +169,7 @@ def lint(vault: Vault, settings: Settings, enums: DataFrame | None = None, canon
         name_case(links, notes),
         voice_records(notes),
         issue(embeds.where(F.col("width") > settings.max_width), "embed-width", "WARN", F.concat_ws(":", "file", F.col("width").cast("string"))),
-        progress(notes), dependent_fields(notes), stubs(notes, settings.relation_fields, links), scores(notes, settings.score_fields), dates(notes),
+        progress(notes, settings.progress_kinds), dependent_fields(notes), stubs(notes, settings.relation_fields, links), scores(notes, settings.score_fields), dates(notes),
         issue(notes.where(F.col("note_kind").isNotNull() & (F.size(F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "")) < settings.min_lines)), "thin-note", "WARN"),
         issue(notes.where(F.col("note_kind").isNotNull() & ~F.coalesce(is_set(field_value("images.cover")), F.lit(False))), "missing-cover", "INFO"),
         issue(G.shared_names(notes).select(F.col("first_path").alias("path"), "n"), "shared-name", "ERROR", F.col("n")),
@@ -193,7 +194,7 @@ def lint(vault: Vault, settings: Settings, enums: DataFrame | None = None, canon
     return out.join(notes.where(F.col("name") == target).select("path"), "path", "left_semi") if target else out
 
 
-def heuristics(vault: Vault, settings: Settings) -> list[DataFrame]:
+def heuristics(vault: Vault | NoteTables, settings: Settings) -> list[DataFrame]:
     lines = vault.lines.where("not in_frontmatter and not in_fence")
     found = [issue(lines.where(two_scripts_in_word("text")), "mixed-script", "WARN", F.col("line"), HEURISTIC)]
     if settings.prose_pattern:

@@ -80,13 +80,17 @@ def within_budget(results: DataFrame, order: list[str], text: str = "text", budg
 
 
 def search(chunks: DataFrame, terms: list[str] | None = None, query: list[float] | None = None, mode: str = "hybrid", k: int = DEFAULT_K, min_score: float | None = None, section_path_prefix: str | None = None, budget: int = BUDGET, verbosity: str = "lean", key: str = "chunk_id", candidates: int = HARD_K) -> DataFrame:
-    """Chunks by `mode` (hybrid, bm25, dense), filtered, cut to k and to the byte budget. full adds the score's components."""
+    """Chunks by `mode` (hybrid, bm25, dense), filtered, cut to k and to the byte budget. full adds the score's components.
+
+    A score counts all chunks, whatever the filter leaves.
+    """
     pool = chunks.where(F.col("section_path").startswith(section_path_prefix)) if section_path_prefix else chunks
+    within = lambda scored: scored.join(pool.select(key), key, "left_semi") if section_path_prefix else scored
     lists = {}
     if mode in ("hybrid", "dense") and query:
         lists["dense"] = top_k(dense(pool, query, key), candidates, key, hard=True)
     if mode in ("hybrid", "bm25") and terms:
-        lists["bm25"] = top_k(bm25(pool, terms, key), candidates, key, hard=True)
+        lists["bm25"] = top_k(within(bm25(chunks, terms, key)), candidates, key, hard=True)
     if not lists:
         raise ValueError(f"{mode} needs terms or a query vector")
     scored = fuse({name: ranked(df, key) for name, df in lists.items()}, key) if mode == "hybrid" else next(iter(lists.values()))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources import notes as N
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 TABLES = ("notes", "lines", "links", "embeds", "chunks", "table_rows")
 
 
@@ -21,33 +22,40 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], version:
     return old.join(new, keys, "full_outer").select(*keys, change.alias("change"))
 
 
-def tables_of(notes: DataFrame) -> dict[str, DataFrame]:
-    lines = N.note_lines(notes)
+def tables_of(notes: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
     return {"notes": notes, "lines": lines, "links": N.links(lines), "embeds": N.embeds(lines), "chunks": N.chunks(notes, lines), "table_rows": N.table_rows(lines)}
 
 
-def write_index(notes: DataFrame, path: str) -> None:
-    """All tables of notes, and the schema version and build time."""
-    spark = notes.sparkSession
-    notes = notes.persist()
-    for name, df in tables_of(notes).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    meta = spark.range(1).select(F.lit(INDEX_VERSION).alias("version"), F.current_timestamp().alias("built"), F.lit(notes.count()).alias("notes"))
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
-    notes.unpersist()
+def write_index(notes: DataFrame, path: str) -> str:
+    """All tables of notes in a new folder below path, and then one row in `meta` that names it: its folder.
+
+    The row is written last and only added, so that a failure on the way leaves the index as it was, and readers of the
+    former tables keep them.
+    """
+    spark, folder = notes.sparkSession, f"{path}/{uuid.uuid4().hex}"
+    notes.write.parquet(f"{folder}/notes")
+    notes = spark.read.parquet(f"{folder}/notes")
+    N.note_lines(notes).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    for name, df in tables_of(notes, lines).items():
+        if name not in ("notes", "lines"):
+            df.write.parquet(f"{folder}/{name}")
+    meta = spark.range(1).select(F.lit(INDEX_VERSION).alias("version"), F.current_timestamp().alias("built"), F.lit(notes.count()).alias("notes"), F.lit(folder).alias("folder"))
+    meta.write.mode("append").parquet(f"{path}/meta")
+    return folder
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The index's tables; none where it is missing or of another version, so that it is built anew."""
+    """The latest tables; none where the index is missing or of another version, so that it is built anew."""
     from pyspark.errors import AnalysisException
 
     try:
-        meta = spark.read.parquet(f"{path}/meta").first()
+        meta = spark.read.parquet(f"{path}/meta").orderBy(F.desc("built")).first()
     except AnalysisException:
         return None
     if meta is None or meta.version != INDEX_VERSION:
         return None
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    return {name: spark.read.parquet(f"{meta.folder}/{name}") for name in TABLES}
 
 
 def refreshed(notes: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +70,7 @@ def refreshed(notes: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def reindex(spark: SparkSession, root: str, path: str, full: bool = False) -> dict:
-    """Builds or refreshes the index at path; {indexed, timeMs, changes}. The new tables are whole before the old ones go."""
+    """Builds or refreshes the index at path; {indexed, timeMs, changes}. The new tables are whole before they count."""
     began, stored = time.time(), None if full else read_index(spark, path)
     listing = N.scan(spark, root)
     if stored is None:
@@ -72,10 +80,6 @@ def reindex(spark: SparkSession, root: str, path: str, full: bool = False) -> di
         changed = {x.change: x["count"] for x in changes.groupBy("change").count().collect()}
         if not set(changed) - {"kept"}:
             return {"indexed": sum(changed.values()), "timeMs": round((time.time() - began) * 1000), "changes": changed}
-    # parsed notes come from the index that is overwritten: they are written aside first
-    aside = f"{path}/notes_next"
-    notes.write.mode("overwrite").parquet(aside)
-    notes = spark.read.parquet(aside)
     write_index(notes, path)
-    n = notes.count()
+    n = read_index(spark, path)["notes"].count()
     return {"indexed": n, "timeMs": round((time.time() - began) * 1000), "changes": changed or {"added": n}}

@@ -150,9 +150,10 @@ def table_rows(lines: DataFrame) -> DataFrame:
 
 
 def chunks(notes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Sections as chunks: chunk_id, note_path, section_path, text, n_bytes."""
-    body = lines.where("not in_frontmatter").groupBy("path", "section_path").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return body.where(F.trim("text") != "").select(F.xxhash64("path", "section_path").alias("chunk_id"), F.col("path").alias("note_path"), "section_path", "text", F.octet_length("text").alias("n_bytes"))
+    """Sections as chunks: chunk_id, note_path, section_path, text, n_bytes. Sections with equal headings are chunks of their own."""
+    nth = F.count_if("is_heading").over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    body = lines.where("not in_frontmatter").withColumn("nth", nth).groupBy("path", "section_path", "nth").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return body.where(F.trim("text") != "").select(F.xxhash64("path", "section_path", "nth").alias("chunk_id"), F.col("path").alias("note_path"), "section_path", "text", F.octet_length("text").alias("n_bytes"))
 
 
 def variant_edges(notes: DataFrame, field: str, target: str | None = None, **attributes: str) -> DataFrame:
@@ -171,9 +172,34 @@ def variant_edges(notes: DataFrame, field: str, target: str | None = None, **att
     return rows.where("target is not null and target != ''")
 
 
+@dataclass
+class NoteTables:
+    """All tables of notes that are parsed already, from wherever they come."""
+
+    notes: DataFrame
+    lines: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.notes.sparkSession
+
+    @property
+    def links(self) -> DataFrame:
+        return links(self.lines)
+
+    @property
+    def embeds(self) -> DataFrame:
+        return embeds(self.lines)
+
+    @property
+    def table_rows(self) -> DataFrame:
+        return table_rows(self.lines)
+
+
 @dataclass
 class Vault:
-    """All tables of one notes folder. Nothing is read before a table is asked for; records are kept once parsed."""
+    """All tables of one notes folder. Nothing is read before a table is asked for; records and lines, which all others are
+    made from, are kept once made, until close()."""
 
     spark: SparkSession
     root: str
@@ -184,7 +210,12 @@ class Vault:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return note_lines(self.notes)
+        return note_lines(self.notes).persist()
+
+    def close(self) -> None:
+        for name in ("lines", "notes"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     @property
     def links(self) -> DataFrame:

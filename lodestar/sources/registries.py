@@ -64,6 +64,7 @@ class Settings:
     required_fields: dict[str, list[str]] = field(default_factory=dict)
     recommended_fields: dict[str, list[str]] = field(default_factory=dict)
     always_present: dict[str, list[str]] = field(default_factory=dict)
+    progress_kinds: list[str] = field(default_factory=lambda: ["anime"])
     score_fields: list[str] = field(default_factory=list)
     relation_fields: dict[str, list[str]] = field(default_factory=dict)
     tag_facet_fields: list[str] = field(default_factory=list)
