@@ -214,5 +214,6 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUN
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("intervals", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))] + [("kept_text", pa.string())] * keep_text)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<from:int,to:int>>" + ", kept_text string" * keep_text
     repeated = rows.mapInArrow(blocks, "bucket int, hashes binary, docs binary, ties binary, starts binary, gone binary").groupBy("bucket").applyInArrow(repeats_of_bucket, "doc long, tie long, first array<int>, last array<int>")
-    by_doc = repeated.groupBy("doc", "tie").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    return rows.join(by_doc, ["doc", "tie"], "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(result, kinds)
+    keys = ["doc", "tie"] if repeated_ids else ["doc"]
+    by_doc = repeated.groupBy(*keys).agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    return rows.join(by_doc, keys, "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(result, kinds)
