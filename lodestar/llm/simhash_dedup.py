@@ -140,6 +140,8 @@ SAMPLE, OFTEN, MOST_OFTEN = 16, 3, 1 << 20
 PARITY_RATE, LEAST_PARITY = 2.5, 256
 #: From round to round a shingle has so many times more holders.
 SALTS = 8
+#: Hashes fall on so many slots. A table of slots has no more rows, whatever its input, so it may be broadcast.
+SLOTS = 1 << 20
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -234,6 +236,13 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b")
 
 
+def on_slots(rows: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in `column` falls on a slot of one in `of`: all that join with it, and few others as long as `of`
+    is small beside SLOTS. A join behind this moves only these."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS))
+    return rows.join(F.broadcast(of.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+
+
 def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, key for each row of docs; and key, least, root for each class of texts of equal words: its smallest doc_id, and
     a number that classes share which are linked by shingle sets `similarity` alike."""
@@ -277,7 +286,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
             return spark.createDataFrame([], "a long, b long")
         ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), path["ends"])
         # of equal texts one does; another text with this hash stays until its key is looked at
-        met = texts.join(ends, "hash").withColumn("more", F.xxhash64(F.lit(1), "text")).dropDuplicates(["node", "more"])
+        met = on_slots(texts, ends, "hash").join(ends, "hash").withColumn("more", F.xxhash64(F.lit(1), "text")).dropDuplicates(["node", "more"])
         own = written(met.select("node", "key", "text").mapInArrow(sets, "node long, own array<long>"), path["own"])
         side = lambda name: own.select(F.col("node").alias(name), F.col("own").alias(f"own_{name}"))
         shared = F.size(F.array_intersect("own_a", "own_b"))
@@ -327,9 +336,12 @@ def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     _, classes = near_classes(docs, similarity, NEAR_SHINGLE)
     # null doc_ids come last
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "key")).alias("x"))
-    keep = written(best.select(F.col("x.key").alias("__key"), F.col("x.least").alias("__least")))
-    kept = keyed(docs).join(keep, "__key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    # joined and made distinct on the same columns: texts cross one exchange, and copies of one text are dealt by their doc_ids
+    at = ["__key", "__doc", "__nameless"]
+    keep = written(best.select(F.col("x.key").alias("__key"), F.coalesce("x.least", F.lit(0)).alias("__doc"), F.col("x.nameless").alias("__nameless")))
+    own = F.col("doc_id").cast("long")
+    named = keyed(docs).withColumns({"__doc": F.coalesce(own, F.lit(0)), "__nameless": own.isNull()})
+    return named.join(keep, at).dropDuplicates(at).select(*docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
