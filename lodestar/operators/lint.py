@@ -78,6 +78,11 @@ def cover_embedded(notes: DataFrame, embeds: DataFrame) -> DataFrame:
     return issue(cover.join(embeds.select("path", "file"), ["path", "file"], "left_anti"), "cover-ref", "ERROR", F.col("file"))
 
 
+def misplaced(files: DataFrame, home: str) -> DataFrame:
+    """files: path of each file that is no note. Those that lie outside of the top folder for attachments."""
+    return issue(files.where(~F.col("path").startswith(f"{home}/")), "attachment-place", "WARN", F.element_at(F.split("path", "/"), -1))
+
+
 def progress(notes: DataFrame, kinds: list[str]) -> DataFrame:
     """A watched record's status against its counts, for notes of the given kinds."""
     status, episodes, seen, times = field_value("personal_status"), field_value("episodes", "int"), field_value("last_episode_watched", "int"), field_value("times_watched", "int")
@@ -173,8 +178,9 @@ def lint(vault: Vault | NoteTables, settings: Settings, enums: DataFrame | None
         issue(notes.where(F.col("note_kind").isNotNull() & (F.size(F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "")) < settings.min_lines)), "thin-note", "WARN"),
         issue(notes.where(F.col("note_kind").isNotNull() & ~F.coalesce(is_set(field_value("images.cover")), F.lit(False))), "missing-cover", "INFO"),
         issue(G.shared_names(notes).select(F.col("first_path").alias("path"), "n"), "shared-name", "ERROR", F.col("n")),
-        issue(notes.where(F.element_at(F.split("path", "/"), 1) != settings.attachment_folder).where(F.col("path").contains(f"/{settings.attachment_folder}/")), "attachment-place", "WARN"),
     ]
+    if isinstance(vault, Vault):
+        found.append(misplaced(vault.attachments, settings.attachment_folder))
     if settings.spoiler_headings:
         found.append(spoiler_callouts(lines, settings.spoiler_headings))
     if enums is not None:

@@ -21,16 +21,25 @@ CORE_NAMES = [x.split()[0] for x in CORE.split(", ")]
 FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n(.*))?\z"
 
 
+def below(root: str) -> Column:
+    """A file's path below root."""
+    whole = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    return F.element_at(F.split(whole, rf"\Q/{root.rstrip('/').split('/')[-1]}/\E", 2), 2)
+
+
 def scan(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """path (below root), name, folder, mtime, size, content_hash, text: one row for each file."""
-    root = root.rstrip("/")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
-    whole = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    path = F.element_at(F.split(whole, rf"\Q/{root.split('/')[-1]}/\E", 2), 2)
-    rows = files.select(path.alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    rows = files.select(below(root).alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     return rows.select("path", basename("path", suffix).alias("name"), folder("path").alias("folder"), "mtime", "size", F.sha2("text", 256).alias("content_hash"), "text")
 
 
+def attachments(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path (below root), mtime, size: one row for each file that is no note. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(below(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).where(~F.col("path").endswith(suffix))
+
+
 def parse_yaml(block: str | None) -> tuple[str | None, str | None, str | None]:
     """Core fields and all others as JSON, and what is wrong with the block. Dates become ISO text, anchors are resolved."""
     import yaml
@@ -233,6 +242,10 @@ class Vault:
     def table_rows(self) -> DataFrame:
         return table_rows(self.lines)
 
+    @property
+    def attachments(self) -> DataFrame:
+        return attachments(self.spark, self.root)
+
     @property
     def external_links(self) -> DataFrame:
         return external_links(self.notes, self.lines)

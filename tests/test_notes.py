@@ -57,6 +57,9 @@ def root(tmp_path_factory):
     for path, text in NOTES.items():
         (top / path).parent.mkdir(exist_ok=True)
         (top / path).write_text(text, encoding="utf-8")
+    for path in ("attachments/Alpha_cover.png", "WORKS/attachments/stray.png"):
+        (top / path).parent.mkdir(exist_ok=True)
+        (top / path).write_bytes(b"\x89PNG")
     return str(top)
 
 
@@ -141,6 +144,7 @@ def test_lint(spark, vault):
     } <= rules
     assert ("Bo", "schema-drift", "new_field") not in found and ("Alpha_(book)", "always-present", "empty") not in found and ("Alpha_(book)", "cover-ref") not in rules
     assert ("Plain", "no-outgoing-link") not in rules
+    assert [(x.path, x.detail) for x in issues.where("rule = 'attachment-place'").collect()] == [("WORKS/attachments/stray.png", "stray.png")]
     assert issues.where("rule = 'tooling-vocabulary'").first().stream == L.HEURISTIC
     green = {x.path: x.structural_green for x in L.structural_green(vault.notes, issues).collect()}
     assert green["META/Plain.md"] and not green["WORKS/Alpha_(book).md"]
