@@ -934,3 +934,12 @@ def test_seats_stay_below_most():
     assert X.sainte_lague(np.array([5.0, 5.0, 0.0]), 9, np.array([2, 4, 9])).tolist() == [2, 4, 0]
 
 
+@pytest.mark.parametrize("slots", [1, 7, 1 << 20])
+def test_slots_keep_all_that_join(spark, monkeypatch, slots):
+    monkeypatch.setattr(SH, "SLOTS", slots)
+    rows = spark.range(-50, 50).selectExpr("xxhash64(id) as hash", "id")
+    some = rows.where("id % 9 = 0").union(rows.where("id % 9 = 0")).select("hash")
+    found = SH.on_slots(rows, some, "hash")
+    assert found.columns == rows.columns and found.count() == found.distinct().count() == (100 if slots == 1 else found.count())
+    assert {r.id for r in found.collect()} >= {k for k in range(-50, 50) if k % 9 == 0}
+    assert SH.on_slots(rows, some.limit(0), "hash").count() == 0
