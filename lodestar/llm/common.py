@@ -90,3 +90,24 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 def emptied(spark: SparkSession, path: str) -> None:
     """Frees a written table's space, once nothing reads it any more."""
     spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(path)
+
+
+#: A table of totals with no more rows than this is small enough to be sent to every task, whatever it was summed from.
+MOST_SENT = 50_000
+SALTS = 64
+
+
+def joined_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of totals, which has one row for each key of rows, null included.
+
+    The number of totals is counted first. Up to MOST_SENT they are broadcast; beyond, rows are dealt out by key and a salt,
+    and totals are repeated for each salt, so that a key with a third of all rows is many tasks' work.
+    """
+    totals = written(totals)
+    named = totals.select(F.col(key).alias("__total_key"), *(x for x in totals.columns if x != key))
+    if totals.count() <= MOST_SENT:
+        return rows.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__total_key"))).drop("__total_key")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*(x for x in rows.columns if x != key)), F.lit(SALTS)))
+    many = named.withColumn("__total_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(many, F.col(key).eqNullSafe(F.col("__total_key")) & (F.col("__salt") == F.col("__total_salt")))
+    return met.drop("__total_key", "__salt", "__total_salt")
