@@ -135,7 +135,7 @@ def simhash_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that a sample of one in SAMPLE texts has OFTEN times are put last in the order, MOST_OFTEN of them at most. Any
 #: order finds all pairs; one with rare shingles first finds few others.
-SAMPLE, OFTEN, MOST_OFTEN = 16, 3, 1 << 20
+SAMPLE, OFTEN, MOST_OFTEN = 4, 3, 1 << 20
 #: Bits of a parity sketch for each shingle, and at least: two differ in no more bits than their sets differ in shingles.
 PARITY_RATE, LEAST_PARITY = 2.5, 256
 #: From round to round a shingle has so many times more holders.
@@ -208,27 +208,41 @@ def often_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], counts[order]
 
 
-def first_holders(nodes: DataFrame) -> DataFrame:
-    """nodes: node, prefix. token, node, holder, several for each shingle of two prefixes or more; holder is its least node,
-    several tells whether it has more than one other."""
-    index = nodes.select("node", F.explode("prefix").alias("token"))
-    ends = index.groupBy("token").agg(F.min("node").alias("holder"), F.max("node").alias("last"), F.count("*").alias("n")).where("holder < last")
-    return index.join(ends.select("token", "holder", (F.col("n") > 2).alias("several")), "token").select("token", "node", "holder", "several")
+def least_shared(similarity: float, sizes: Column) -> Column:
+    """Shingles that two sets share at least, if they are `similarity` alike and have `sizes` together."""
+    return similarity / (1 + similarity) * sizes - 1e-6
 
 
-def ordered(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node", "holder").alias("a"), F.greatest("node", "holder").alias("b")).distinct()
+def indexed(similarity: float) -> Column:
+    """Whether a shingle (pos in the order of its set of size) can be the first that a set shares with one of its own size or
+    a larger one. What lies behind it must hold all that they share, so the smaller set is found by fewer shingles."""
+    return F.col("size") - F.col("pos") >= least_shared(similarity, 2 * F.col("size"))
+
+
+def can_meet(similarity: float) -> Column:
+    """Whether a shingle (size, pos) may be the first that its set shares with the one of `holder` (size, pos): the holder's is
+    the smaller set, large enough, and both have enough shingles from here on. No pair that is alike goes: its first common
+    shingle passes."""
+    size, pos, own, at = F.col("size"), F.col("pos"), F.col("holder.size"), F.col("holder.pos")
+    return (own <= size) & (own >= similarity * size - 1e-6) & (F.least(size - pos, own - at) >= least_shared(similarity, size + own))
 
 
-def sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sizes don't rule out that they are `similarity` alike."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+def first_holders(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: node, size, prefix. token, node, size, pos, holder, several for each shingle of two prefixes or more that a set is
+    indexed by; holder is the smallest such set (size, pos, node), several tells whether there are more."""
+    index = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    ends = index.where(indexed(similarity)).groupBy("token").agg(F.min(F.struct("size", "pos", "node")).alias("holder"), F.count("*").alias("n"))
+    met = index.join(ends, "token").where("node != holder.node or n > 1")
+    return met.select("token", "node", "size", "pos", "holder", (F.col("n") > 1).alias("several"))
+
+
+def ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "holder.node").alias("a"), F.greatest("node", "holder.node").alias("b")).distinct()
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of sized pairs, those whose parity sketches don't rule out that they are `similarity` alike; no such pair goes."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"))
+    """Of pairs a, b whose sizes are alike, those whose parity sketches don't rule out that they are; no such pair goes."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
     # such sizes differ by a quarter at most, so that of their sketches one is twice as wide at most
     width = F.least(F.size("bits_a"), F.size("bits_b"))
     differ = F.aggregate(F.zip_with(folded(F.col("bits_a"), width), folded(F.col("bits_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -267,21 +281,20 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
 
     spark = docs.sparkSession
     # tables that a later step writes over, or that are emptied once they have served
-    path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "sized", "pairs", "ends", "own")}
+    path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "pairs", "ends", "own")}
     rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"), path["rows"])
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
     nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"), path["nodes"])
     rows = written(rows.select("doc_id", "key"))
     emptied(spark, path["rows"])
-    live = written(first_holders(nodes), path["live"])
+    live = written(first_holders(nodes, similarity), path["live"])
     nodes = written(nodes.drop("prefix"))
     emptied(spark, path["nodes"])
 
-    def exact(tokens_met: DataFrame) -> DataFrame:
+    def exact(met: DataFrame) -> DataFrame:
         """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
-        pairs = written(sized(tokens_met, nodes, similarity), path["sized"])
-        pairs = written(possible(pairs, nodes, similarity), path["pairs"])
+        pairs = written(possible(met, nodes, similarity), path["pairs"])
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
         ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), path["ends"])
@@ -292,28 +305,31 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
         shared = F.size(F.array_intersect("own_a", "own_b"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b"))
 
-    tried = written(ordered(live.where("node != holder")))
+    tried = written(ordered(live.where("node != holder.node").where(can_meet(similarity))))
     alike = exact(tried)
     roots = components(alike)
-    # a shingle of two texts is done with now, others once all texts that weren't its holder are of one root; until then more
-    # of them become holders
-    live, salts = live.where("node != holder and several").select("token", "node"), SALTS
+    # a shingle that one set alone is indexed by is done with now, others once all that weren't its holder are of one root;
+    # until then more of them become holders. Who was a holder still meets smaller ones
+    live = live.where("several").select("token", "node", "size", "pos", (indexed(similarity) & (F.col("node") != F.col("holder.node"))).alias("waits"))
+    salts = SALTS
     while True:
-        live = live.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-        several = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        live = live.join(roots, "node", "left").select("token", "node", "size", "pos", "waits", F.coalesce("root", "node").alias("root"))
+        several = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("waits").alias("more")).where("lo < hi and more").select("token")
         live = written(live.join(several, "token"), path["next"])
         path["live"], path["next"] = path["next"], path["live"]
         if live.isEmpty():
             break
-        holders = live.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "root")).alias("x"))
-        holders = written(holders.select("token", F.col("x.node").alias("holder"), F.col("x.root").alias("of")), path["holders"])
-        met = written(ordered(live.join(holders, "token").where("root != of")).join(tried, ["a", "b"], "left_anti"))
+        holders = live.where("waits").groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("size", "pos", "node", "root")).alias("holder"))
+        holders = written(holders.select("token", "holder"), path["holders"])
+        met = live.join(holders, (live["token"] == holders["token"]) & (F.col("root") != F.col("holder.root")) & can_meet(similarity))
+        met = written(ordered(met).join(tried, ["a", "b"], "left_anti"))
         more = exact(met)
         if not more.isEmpty():
             alike = alike.union(more)
             roots = components(alike)
         tried = tried.union(met)
-        live = live.join(holders.select("token", F.col("holder").alias("node")), ["token", "node"], "left_anti").select("token", "node")
+        done = holders.select("token", F.col("holder.node").alias("node"), F.lit(True).alias("was"))
+        live = live.drop("root").join(done, ["token", "node"], "left").withColumn("waits", F.col("waits") & F.col("was").isNull()).drop("was")
         salts *= SALTS
     return rows.select("doc_id", "key"), nodes.select("node", "key", "least").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
 

@@ -564,6 +564,19 @@ def test_near_groups_are_complete(spark):
     assert grouped(spark, texts) == {k: root(k) for k in texts}
 
 
+@pytest.mark.parametrize("size", [60, 240])
+def test_near_template_families_meet_few(spark, monkeypatch, size):
+    """Texts of one template just below the similarity: almost no pair of them is met, and true copies among them are found."""
+    met, possible = [], SH.possible
+    monkeypatch.setattr(SH, "possible", lambda pairs, nodes, similarity: (met.append(pairs.count()), possible(pairs, nodes, similarity))[1])
+    words = [f"t{k}" for k in range(300)]
+    texts = {k: " ".join(words + [f"own{k}x{j}" for j in range(56)]) for k in range(size)}
+    texts |= {size: texts[7] + " more", size + 1: texts[31] + " other words"}
+    assert 0.72 < jaccard(texts[0], texts[1]) < 0.73
+    assert grouped(spark, texts) == {**{k: k for k in range(size)}, size: 7, size + 1: 31}
+    assert sum(met) < 20 * len(texts)
+
+
 def test_repeated_and_missing_ids(spark):
     """Texts are the unit: unlike ones under one doc_id both stay, near copies without doc_id go."""
     one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
