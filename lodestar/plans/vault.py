@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.functions.layout import spread
 from lodestar.operators import filters as P
 from lodestar.operators import graph as G
 from lodestar.operators import lint as L
@@ -47,7 +48,7 @@ _NAME = "'Cust_' || "
 
 def files(spark, sf_dir):
     """Notes as scan() gives files, one for each customer."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("seg"))
+    rows = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("seg"))
     named = rows.select(F.expr("'CUSTOMERS/Cust_' || k || '.md'").alias("path"), F.expr("'Cust_' || k").alias("name"), F.lit("CUSTOMERS").alias("folder"), F.lit(None).cast("timestamp").alias("mtime"), F.expr(f"concat_ws(char(10), {', '.join(LINES)})").alias("text"))
     return named.select("path", "name", "folder", "mtime", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("content_hash"), "text")
 
@@ -199,7 +200,7 @@ def lint_gate(spark, sf_dir):
 def profile_of_note(spark, sf_dir):
     """One note with its links both ways and its issues."""
     made = tables(spark, sf_dir)
-    row = X.note_profile(made.notes, made.links, made.embeds, all_issues(spark, sf_dir, made), "Cust_7")
+    row = X.note_profile(made.notes, made.links, made.embeds, all_issues(spark, sf_dir, made, target="Cust_7"), "Cust_7")
     n = lambda x: F.size(x).cast("long")
     return row.select("path", "name", n("outgoing").alias("n_outgoing"), n("backlinks").alias("n_backlinks"), n("lint").alias("n_issues"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +40,14 @@ def attachments(spark: SparkSession, root: str, suffix: str = ".md") -> DataFram
     return files.select(below(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).where(~F.col("path").endswith(suffix))
 
 
+@cache
+def _loader():
+    """The C parser where PyYAML has it: several times as fast, the same values."""
+    import yaml
+
+    return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def parse_yaml(block: str | None) -> tuple[str | None, str | None, str | None]:
     """Core fields and all others as JSON, and what is wrong with the block. Dates become ISO text, anchors are resolved."""
     import yaml
@@ -47,7 +55,7 @@ def parse_yaml(block: str | None) -> tuple[str | None, str | None, str | None]:
     if block is None:
         return None, None, None
     try:
-        found = yaml.safe_load(block)
+        found = yaml.load(block, _loader())
     except yaml.YAMLError as e:
         return None, None, str(e).split("\n")[0][:200]
     if found is None:
@@ -68,10 +76,11 @@ def front_matter(blocks: pd.Series) -> pd.DataFrame:
 def parse(files: DataFrame) -> DataFrame:
     """Scanned files as notes: core columns, all other front matter as a VARIANT `extra`, the body and line counts.
 
-    A file without front matter, or with a malformed block, keeps its row: core columns null, `error` says why.
+    A file without front matter, or with a malformed block, keeps its row: core columns null, `error` says why. Blocks are
+    parsed once: a filter on what they hold isn't pushed below them, as the parser is not said to be deterministic.
     """
     split = files.withColumn("front", F.when(F.col("text").rlike(FRONT), F.regexp_extract("text", FRONT, 1))).withColumn("body", F.when(F.col("front").isNotNull(), F.regexp_extract("text", FRONT, 2)).otherwise(F.col("text")))
-    parsed = split.withColumn("yaml", F.pandas_udf(front_matter, "struct<core:string,extra:string,error:string>")("front")).withColumn("core", F.from_json("yaml.core", CORE))
+    parsed = split.withColumn("yaml", F.pandas_udf(front_matter, "struct<core:string,extra:string,error:string>").asNondeterministic()("front")).withColumn("core", F.from_json("yaml.core", CORE))
     lines = lambda x: F.size(F.split(x, r"\r?\n"))
     return parsed.select(
         "path", "name", "folder", "mtime", "size", "content_hash", *(F.col(f"core.{x}").alias(x) for x in CORE_NAMES if x not in ("tags", "aliases")),
@@ -110,15 +119,27 @@ def prose(lines: DataFrame) -> DataFrame:
     return lines.where("not in_frontmatter and not in_fence").withColumn("text", mask_inline_code("text"))
 
 
+def link_array(text: Column) -> Column:
+    """The links and embeds of one line of prose, in order: position, is_embed, target, display_text."""
+    whole = F.regexp_extract_all(mask_inline_code(text), F.lit(f"({WIKI_LINK})"), 1)
+
+    def parts(link: Column, position: Column) -> Column:
+        target = F.trim(F.regexp_replace(F.regexp_extract(link, r"\[\[([^\[\]|\\]+)", 1), r"#.*$", ""))
+        display = F.when(link.contains("|"), F.regexp_extract(link, r"\\?\|([^\[\]]*)\]\]$", 1))
+        return F.struct(position.alias("position"), (link.startswith("!") | target.rlike(IMAGE)).alias("is_embed"), target.alias("target"), display.alias("display_text"))
+
+    return F.filter(F.transform(whole, parts), lambda x: x["target"] != "")
+
+
+def width_of(display: Column) -> Column:
+    """An embed's width; null where the display text is no number."""
+    return F.when(display.rlike(r"^\d+$"), display.try_cast("int"))
+
+
 def wiki_links(lines: DataFrame) -> DataFrame:
     """Every link and embed: path, line, position, is_embed, target, display_text, in_table, is_heading, section_path."""
-    found = prose(lines).select("path", "line", "text", "is_heading", "section_path", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WIKI_LINK})"), 1)).alias("position", "link"))
-    target = F.trim(F.regexp_replace(F.regexp_extract("link", r"\[\[([^\[\]|\\]+)", 1), r"#.*$", ""))
-    display = F.regexp_extract("link", r"\\?\|([^\[\]]*)\]\]$", 1)
-    return found.select(
-        "path", "line", "position", (F.col("link").startswith("!") | target.rlike(IMAGE)).alias("is_embed"), target.alias("target"),
-        F.when(F.col("link").contains("|"), display).alias("display_text"), F.col("text").rlike(r"^\s*\|").alias("in_table"), "is_heading", "section_path", "link",
-    ).where("target != ''")
+    found = lines.where("not in_frontmatter and not in_fence").select("path", "line", F.col("text").rlike(r"^\s*\|").alias("in_table"), "is_heading", "section_path", F.explode(link_array(F.col("text"))).alias("x"))
+    return found.select("path", "line", "x.position", "x.is_embed", "x.target", "x.display_text", "in_table", "is_heading", "section_path")
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -127,8 +148,7 @@ def links(lines: DataFrame) -> DataFrame:
 
 def embeds(lines: DataFrame) -> DataFrame:
     """path, line, position, file, width (null where the display text is no number)."""
-    width = F.when(F.col("display_text").rlike(r"^\d+$"), F.col("display_text").cast("int"))
-    return wiki_links(lines).where("is_embed").select("path", "line", "position", F.col("target").alias("file"), width.alias("width"), "section_path")
+    return wiki_links(lines).where("is_embed").select("path", "line", "position", F.col("target").alias("file"), width_of(F.col("display_text")).alias("width"), "section_path")
 
 
 def gallery_entries(lines: DataFrame) -> DataFrame:
@@ -145,17 +165,29 @@ def external_links(notes: DataFrame, lines: DataFrame) -> DataFrame:
     return fields.select(F.col("path").alias("source_path"), F.lit(None).cast("int").alias("line"), F.lit("frontmatter").alias("origin"), "url").unionByName(inline.select(F.col("path").alias("source_path"), "line", F.lit("inline").alias("origin"), "url"))
 
 
+def in_table(text: Column) -> Column:
+    return text.rlike(r"^\s*\|")
+
+
+def table_cells(text: Column) -> Column:
+    """The cells of one row of a table; escaped pipes and those in links are no borders."""
+    bare = F.regexp_replace(F.regexp_replace(mask_inline_code(text), r"\\\|", "\u0001"), r"\[\[[^\[\]]*\]\]", "link")
+    return F.transform(F.split(F.regexp_replace(F.trim(bare), r"^\||\|$", ""), r"\|"), lambda x: F.trim(F.regexp_replace(x, "\u0001", "|")))
+
+
+def raw_pipe(text: Column) -> Column:
+    """Whether a link holds an unescaped pipe."""
+    return F.regexp_replace(mask_inline_code(text), r"\\\|", "").rlike(r"\[\[[^\[\]]*\|[^\[\]]*\]\]")
+
+
 def table_rows(lines: DataFrame) -> DataFrame:
     """Rows of Markdown tables: path, line, table_id (its first line), n_cells, cells, header_cells, raw_pipe (an unescaped
     pipe inside a link)."""
-    rows = prose(lines).where(F.col("text").rlike(r"^\s*\|"))
+    rows = lines.where("not in_frontmatter and not in_fence").where(in_table(F.col("text"))).select("path", "line", "text", table_cells(F.col("text")).alias("cells"))
     order = Window.partitionBy("path").orderBy("line")
-    begins = rows.withColumn("table_id", F.last(F.when(F.coalesce(F.lag("line").over(order) != F.col("line") - 1, F.lit(True)), F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bare = F.regexp_replace(F.regexp_replace("text", r"\\\|", "\u0001"), r"\[\[[^\[\]]*\]\]", "link")
-    cells = F.transform(F.split(F.regexp_replace(F.trim(bare), r"^\||\|$", ""), r"\|"), lambda x: F.trim(F.regexp_replace(x, "\u0001", "|")))
-    built = begins.select("path", "line", "table_id", cells.alias("cells"), F.regexp_replace("text", r"\\\|", "").rlike(r"\[\[[^\[\]]*\|[^\[\]]*\]\]").alias("raw_pipe"))
-    header = F.first(F.size("cells")).over(Window.partitionBy("path", "table_id").orderBy("line"))
-    return built.select("path", "line", "table_id", F.size("cells").alias("n_cells"), "cells", header.alias("header_cells"), "raw_pipe")
+    first = F.coalesce(F.lag("line").over(order) != F.col("line") - 1, F.lit(True))
+    head = rows.withColumn("first", first).withColumn("head", F.last(F.when(F.col("first"), F.struct("line", F.size("cells").alias("n"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return head.select("path", "line", F.col("head.line").alias("table_id"), F.size("cells").alias("n_cells"), "cells", F.col("head.n").alias("header_cells"), raw_pipe(F.col("text")).alias("raw_pipe"))
 
 
 def chunks(notes: DataFrame, lines: DataFrame) -> DataFrame:
