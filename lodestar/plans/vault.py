@@ -5,15 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions.layout import spread
+from lodestar.functions.layout import shared_folder, spread
 from lodestar.operators import filters as P
 from lodestar.operators import graph as G
 from lodestar.operators import lint as L
 from lodestar.operators import profile as X
 from lodestar.operators import retrieval as R
 from lodestar.plans.catalog import _BM25, TERMS, registered, table, texts
+from lodestar.sources import index as I
 from lodestar.sources import notes as N
-from lodestar.sources.index import refreshed
 from lodestar.sources.ledger import parse_ledger
 from lodestar.sources.registries import Settings, render_taxonomy
 
@@ -217,15 +217,46 @@ def plan_of_image(spark, sf_dir):
     return X.image_plan(made.notes, made.embeds, "Other.png")
 
 
-@registered("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT CASE WHEN k % 17 = 0 THEN 'removed' WHEN k % 10 = 0 THEN 'changed' ELSE 'kept' END AS change, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM c WHERE k % 19 = 0""")
-def index_refresh(spark, sf_dir):
-    """A later listing of the notes, and what its refresh parses anew."""
-    before = files(spark, sf_dir)
+_LATER = f"{_C}, f AS (SELECT path, k, 0 AS more FROM c WHERE k % 17 <> 0 AND k % 10 <> 0 UNION ALL SELECT path, k, 1 FROM c WHERE k % 17 <> 0 AND k % 10 = 0 UNION ALL SELECT 'NEW/' || path, k, 0 FROM c WHERE k % 19 = 0)"
+
+
+def refreshed_index(spark, sf_dir):
+    """An index of the notes, and its refresh from a later listing: some have one more link, some are gone, some new, and some
+    have another time but the same text. Gives its folder, and what the refresh counted."""
     k = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
-    later = before.where(k % 17 != 0).withColumn("content_hash", F.when(k % 10 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
-    more = before.where(k % 19 == 0).withColumn("path", F.concat(F.lit("NEW/"), "path"))
-    _, changes = refreshed(N.parse(before), later.unionByName(more))
-    return changes.groupBy("change").agg(F.count("*").alias("n"))
+    timed = lambda x, at: x.withColumn("mtime", F.timestamp_seconds(F.lit(at)))
+    before = timed(files(spark, sf_dir), 0)
+    later = before.where(k % 17 != 0)
+    text = F.when(k % 10 == 0, F.concat("text", F.lit("\nMore: [[Cust_1]]"))).otherwise(F.col("text"))
+    later = timed(later.withColumn("text", text), 0).withColumn("mtime", F.when((k % 10 == 0) | (k % 23 == 0), F.timestamp_seconds(F.lit(60))).otherwise(F.col("mtime")))
+    later = later.unionByName(timed(before.where(k % 19 == 0), 60).withColumn("path", F.concat(F.lit("NEW/"), "path")))
+    later = later.withColumns({"size": F.octet_length("text").cast("long"), "content_hash": F.sha2("text", 256)})
+    folder = shared_folder(spark)
+    reader = lambda rows: lambda paths: rows if paths is None else rows.join(paths, "path", "left_semi")
+    I.refresh(spark, folder, before, reader(before))
+    return folder, I.refresh(spark, folder, later, reader(later))
+
+
+@registered("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT CASE WHEN k % 17 = 0 THEN 'removed' WHEN k % 10 = 0 THEN 'changed' WHEN k % 23 = 0 THEN 'touched' ELSE 'kept' END AS change, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM c WHERE k % 19 = 0""")
+def index_refresh(spark, sf_dir):
+    """What a refresh finds: it reads only files of another time or size, and parses only those of another content."""
+    _, counts = refreshed_index(spark, sf_dir)
+    return spark.createDataFrame(sorted(counts.items()), "change string, n long")
+
+
+@registered(f"WITH {_LATER} SELECT path, 14 AS line, {_NAME}(k % 97 + 1) AS target FROM f UNION ALL SELECT path, 14, {_NAME}(k % 50 + 1) FROM f UNION ALL SELECT path, 20, 'Gone_' || k FROM f UNION ALL SELECT path, 23, 'Cust_1' FROM f WHERE more = 1")
+def index_merged_links(spark, sf_dir):
+    """Links as a reader merges them from a whole version and a delta."""
+    folder, _ = refreshed_index(spark, sf_dir)
+    return I.read_index(spark, folder)["links"].select("path", "line", "target")
+
+
+@registered(f"WITH {_LATER} SELECT path, {_NAME}k AS name, k % 13 AS score, 22 + more AS n_lines FROM f")
+def index_compacted(spark, sf_dir):
+    """Records after the versions were merged into one."""
+    folder, _ = refreshed_index(spark, sf_dir)
+    I.compact(spark, folder)
+    return I.read_index(spark, folder)["notes"].select("path", "name", N.field_value("score", "long").alias("score"), "n_lines")
 
 
 # ---- ledgers, registries, search

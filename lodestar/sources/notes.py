@@ -21,23 +21,29 @@ CORE_NAMES = [x.split()[0] for x in CORE.split(", ")]
 FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n(.*))?\z"
 
 
-def below(root: str) -> Column:
-    """A file's path below root."""
-    whole = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+def below(root: str, file: Column | None = None) -> Column:
+    """A file's path below root. file: its full name where it isn't the one that is read."""
+    whole = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")) if file is None else file
     return F.element_at(F.split(whole, rf"\Q/{root.rstrip('/').split('/')[-1]}/\E", 2), 2)
 
 
-def scan(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
-    """path (below root), name, folder, mtime, size, content_hash, text: one row for each file."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
-    rows = files.select(below(root).alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+def scan(spark: SparkSession, root: str, suffix: str = ".md", files: list[str] | None = None) -> DataFrame:
+    """path (below root), name, folder, mtime, size, content_hash, text: one row for each file, or for each of `files`."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(files or root, wholetext=True)
+    rows = found.select(below(root).alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     return rows.select("path", basename("path", suffix).alias("name"), folder("path").alias("folder"), "mtime", "size", F.sha2("text", 256).alias("content_hash"), "text")
 
 
+def listing(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path (below root), mtime, size, file (full name): one row for each note's file. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
+    return files.select(below(root, F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("path").alias("file"))
+
+
 def attachments(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """path (below root), mtime, size: one row for each file that is no note. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(below(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).where(~F.col("path").endswith(suffix))
+    return files.select(below(root, F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).where(~F.col("path").endswith(suffix))
 
 
 @cache

@@ -8,7 +8,8 @@ from lodestar.operators import lint as L
 from lodestar.operators import profile as P
 from lodestar.operators.filters import query
 from lodestar.sources import notes as N
-from lodestar.sources.index import read_index, reindex
+from lodestar.functions.layout import shared_folder
+from lodestar.sources.index import named_files, read_index, refresh, reindex, suspects, live_manifest, versions
 from lodestar.sources.registries import Settings, enums, render_taxonomy, spec_changelog, taxonomy
 
 NOTES = {
@@ -172,5 +173,34 @@ def test_index_and_refresh(spark, root, tmp_path, tmp_path_factory):
         f.write("Changed.\n")
     shutil.move(f"{own}/META/Bad.md", f"{own}/META/Bad.txt")
     assert reindex(spark, own, index)["changes"] == {"kept": 3, "added": 1, "changed": 1, "removed": 1}
+    assert [x.whole for x in versions(spark, index)] == [True, False]
     assert {x.name for x in read_index(spark, index)["notes"].collect()} == {"Alpha_(book)", "Ann_Lee", "Bo", "Plain", "New"}
     assert read_index(spark, str(tmp_path / "none")) is None
+
+
+def test_refresh_reads_what_changed(spark, root, tmp_path_factory):
+    """Of many files three are opened; deltas are merged after so many; another time alone parses nothing; a name is no pattern."""
+    import os
+    import shutil
+
+    own, index = tmp_path_factory.mktemp("many") / "notes", shared_folder(spark)
+    shutil.copytree(root, own)
+    for k in range(60):
+        (own / f"META/N [{k}] {{x}}.md").write_text(f"---\nscore: {k}\n---\nSee [[Bo]]\n")
+    assert reindex(spark, str(own), index)["indexed"] == 65
+    for k in (3, 4):
+        (own / f"META/N [{k}] {{x}}.md").write_text(f"---\nscore: {k}\n---\nSee [[Bo]] and [[Ann_Lee]]\n")
+    os.utime(own / "META/N [5] {x}.md", (10**9, 10**9))
+    files = N.listing(spark, str(own))
+    odd = suspects(live_manifest(spark, index, versions(spark, index)), files)
+    opened = named_files(spark, str(own), files)(odd.where("there").select("path"))
+    assert len(opened.inputFiles()) == 3
+    assert reindex(spark, str(own), index)["changes"] == {"changed": 2, "touched": 1, "kept": 62}
+    assert reindex(spark, str(own), index)["changes"] == {"kept": 65}
+    delta = versions(spark, index)[-1]
+    assert spark.read.parquet(f"{index}/v{delta.seq}/notes").count() == 2
+    assert read_index(spark, index)["links"].where("path like 'META/N%' and target = 'Ann_Lee'").count() == 2
+    (own / "META/N [9] {x}.md").unlink()
+    assert refresh(spark, index, N.listing(spark, str(own)), named_files(spark, str(own), N.listing(spark, str(own))), most_deltas=1) == {"removed": 1, "kept": 64}
+    assert [x.whole for x in versions(spark, index)] == [True] and read_index(spark, index)["notes"].count() == 64
+    assert reindex(spark, str(own), index, full=True)["indexed"] == 64 and reindex(spark, str(own), index)["changes"] == {"kept": 64}
