@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from lodestar.functions.layout import stored
 def stats(records: DataFrame, axes: list[str], tag_column: str | None = None) -> DataFrame:
     """axis, value, n: the total and counts by each axis, in one pass over grouping sets; tags exploded apart."""
     plain = [a for a in axes if a != tag_column]
@@ -147,8 +147,23 @@ def suppress_repeats(rows: DataFrame, keys: list[str], order: list[str]) -> Data
 # ---- orders
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place in a total order, from 1. Rows are dealt out by ranges of the order; a range's places begin behind
+    the counts of those before it, so that no task meets all rows. Rows that the order doesn't tell apart follow each other."""
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    # one row for each range
+    before = dealt.groupBy("__range").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+
+
+def ranking_order(first_pos: str) -> list[Column]:
+    """By mean, the best first, then by first appearance."""
+    return [F.desc("mean"), F.asc(first_pos)]
+
+
 def ranking(cells: DataFrame, first_pos: str) -> DataFrame:
-    return cells.orderBy(F.desc("mean"), F.asc(first_pos))
+    return cells.orderBy(*ranking_order(first_pos))
 
 
 def card_order(cards: DataFrame, last: str = "last", created: str = "created", path: str = "path") -> list[Column]:
@@ -160,12 +175,20 @@ def card_tier(last: str) -> Column:
     return F.when(F.col(last).isNotNull(), 0).otherwise(1)
 
 
+def history_order() -> list[Column]:
+    return [F.col("ts").desc_nulls_last(), F.col("note").asc(), F.col("audit_type").asc()]
+
+
 def history(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy(F.col("ts").desc_nulls_last(), "note", "audit_type")
+    return ledger.orderBy(*history_order())
+
+
+def chronological_order(year: str = "year", name: str = "name") -> list[Column]:
+    return [F.col(year).asc_nulls_last(), F.col(name).asc()]
 
 
 def chronological(records: DataFrame, year: str = "year", name: str = "name") -> DataFrame:
-    return records.orderBy(F.col(year).asc_nulls_last(), name)
+    return records.orderBy(*chronological_order(year, name))
 
 
 def top_per_axis(rows: DataFrame, axis: str, score: str, key: str, n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens
+from lodestar.operators.mentions import few_terms, mentions
 
 
 def backlinks(edges: DataFrame, targets: DataFrame | list | str, source: str = "source", target: str = "target") -> DataFrame:
@@ -128,23 +129,34 @@ def mention_terms(notes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def text_mentions(lines: DataFrame, terms: DataFrame, links: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Plain-text mentions: keys, target, term. lines: keys, text. terms: target, term. links: keys, target, left out.
+    """Plain-text mentions: keys, target, term. lines: keys, text, one row for each keys. terms: target, term. links: keys, target,
+    left out.
 
-    A theta join would compare every line with every term. Here both meet on that word of the term which the fewest lines
+    Terms are counted first. As many as one automaton takes are found in one pass over lines; beyond, lines and terms meet on
+    words. Both give the same rows.
+    """
+    keys = keys or ["path", "line"]
+    few = few_terms(terms)
+    found = mentions(lines, few, keys, terms) if few is not None else mentions_by_words(lines, terms, keys)
+    return found.join(links.select(*keys, "target"), [*keys, "target"], "left_anti") if links is not None else found
+
+
+def mentions_by_words(lines: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """A theta join would compare every line with every term. Here both meet on that word of the term which the fewest lines
     have; each line has a word once. A term of one word is found by that; longer ones are verified in their line, as literal
     text between non-letters, in any script. Lines' texts don't travel with their words.
     """
-    keys = keys or ["path", "line"]
     words = lines.select(*keys, F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    of_terms = terms.select("target", "term", F.explode(F.array_distinct(tokens("term"))).alias("word"))
-    often = words.join(of_terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = of_terms.join(often, "word", "left").groupBy("target", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
-    rarest = rarest.select("target", "term", F.col("x.word").alias("word")).withColumn("single", F.lower("term") == F.col("word"))
-    met = words.join(rarest, "word").select(*keys, "target", "term", "single")
+    of_terms = terms.select("target", "term", F.explode(F.array_distinct(tokens("term"))).alias("word")).withColumn("single", F.lower("term") == F.col("word"))
+    # only terms of several words have a choice
+    longer_terms = of_terms.where("not single")
+    often = words.join(longer_terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = longer_terms.join(often, "word", "left").groupBy("target", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
+    singles = words.join(of_terms.where("single").select("word", "target", "term"), "word").select(*keys, "target", "term")
+    met = words.join(rarest.select("target", "term", F.col("x.word").alias("word")), "word").select(*keys, "target", "term")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.regexp_replace("term", r"\\E", ""), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    longer = met.where("not single").join(lines.select(*keys, "text"), keys).where(F.rlike("text", pattern))
-    found = met.where("single").select(*keys, "target", "term").unionByName(longer.select(*keys, "target", "term")).distinct()
-    return found.join(links.select(*keys, "target"), [*keys, "target"], "left_anti") if links is not None else found
+    longer = met.join(lines.select(*keys, "text"), keys).where(F.rlike("text", pattern))
+    return singles.unionByName(longer.select(*keys, "target", "term")).distinct()
 
 
 def first_occurrences(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import both_kinds, one_way, sourced
@@ -37,11 +37,36 @@ def rename_plan(links: DataFrame, embeds: DataFrame, old: str, new: str) -> Data
     return rows.select(F.col("source_path").alias("path"), "line", F.concat(F.lit("[["), "target").alias("before"), F.lit(f"[[{new}").alias("after"))
 
 
-def fix_plan(broken: DataFrame, notes: DataFrame) -> DataFrame:
-    """Broken links with the one existing name that they match but for case or suffix: path, line, target, proposal."""
-    plain = lambda x: F.lower(F.regexp_replace(x, r"\.md$", ""))
-    names = notes.groupBy(plain("name").alias("plain")).agg(F.min("name").alias("proposal"), F.count("*").alias("n")).where("n = 1")
-    return broken.withColumn("plain", plain("target")).join(names, "plain").select("path", "line", "target", "proposal")
+def shortened(text: Column, most: int) -> Column:
+    """A text and all that is left of it without up to `most` characters."""
+    once = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
+    found = F.array(text)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(F.filter(found, lambda x: x != ""), once))))
+    return found
+
+
+def plain_name(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"\.md$", ""))
+
+
+def fix_plan(broken: DataFrame, notes: DataFrame, most: int = 2) -> DataFrame:
+    """Broken links with the nearest existing name: path, line, target, proposal, distance, n_names (that are as near).
+
+    distance counts edits of single characters, case and suffix aside; a link without a name within `most` has no row. The
+    proposal is the first of the nearest names. Names and targets meet on what is left of both without a few characters, never
+    each with each; names that such a meeting brings together but are farther apart are left out.
+    """
+    targets = broken.select("target").distinct().withColumn("plain", plain_name(F.col("target")))
+    names = notes.select("name").distinct().withColumn("plain", plain_name(F.col("name")))
+    # one hash for a shortened name: equal ones are verified below
+    keyed = lambda rows, column: rows.select(column, "plain", F.explode(F.array_distinct(F.transform(shortened(F.col("plain"), most), lambda x: F.xxhash64(x)))).alias("key"))
+    left, right = keyed(targets, "target").withColumnRenamed("plain", "wanted"), keyed(names, "name")
+    met = left.join(right, "key").where(F.levenshtein("wanted", "plain", most) >= 0)
+    near = met.select("target", "name", F.levenshtein("wanted", "plain", most).alias("distance")).distinct()
+    best = near.groupBy("target").agg(F.min(F.struct("distance", "name")).alias("x"))
+    counted = near.join(best, "target").where("distance = x.distance").groupBy("target").agg(F.first("x").alias("x"), F.count("*").alias("n_names"))
+    return broken.join(counted, "target").select("path", "line", "target", F.col("x.name").alias("proposal"), F.col("x.distance").alias("distance"), "n_names")
 
 
 def image_plan(notes: DataFrame, embeds: DataFrame, file: str) -> DataFrame:

@@ -184,3 +184,38 @@ def gated_records(spark, sf_dir):
     """Records behind a gate of two conditions, as a retrieval gate takes them."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.bool_or(F.col("event_type") == "purchase").alias("has_purchase"), F.count("*").alias("n"))
     return P.query(rows, equals={"has_purchase": True}, field_gte={"n": 2}, field_in={"n": [2, 3, 4]}, key="user_id")
+
+
+# ---- orders, seen by each row's place
+
+
+@registered("""SELECT o_orderpriority AS axis, mean, first_pos, row_number() OVER (ORDER BY mean DESC, first_pos) AS place FROM (SELECT o_orderpriority || o_orderstatus AS o_orderpriority, round(avg(o_totalprice), 0) AS mean, min(o_orderkey) AS first_pos FROM orders GROUP BY 1)""")
+def ranking_places(spark, sf_dir):
+    """Means in order, equal ones by first appearance."""
+    cells = table(spark, sf_dir, "orders").groupBy(F.concat("o_orderpriority", "o_orderstatus").alias("axis")).agg(F.round(F.avg("o_totalprice"), 0).alias("mean"), F.min("o_orderkey").alias("first_pos"))
+    return A.numbered(cells, A.ranking_order("first_pos"))
+
+
+@registered("""WITH c AS (SELECT 'C' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE DATE '2020-01-01' + CAST(c_custkey % 40 AS INTEGER) END AS created, last FROM customer
+      LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) ON o_custkey = c_custkey)
+    SELECT path, row_number() OVER (ORDER BY last DESC NULLS LAST, CASE WHEN last IS NULL THEN coalesce(CAST(created AS VARCHAR), '') END DESC NULLS LAST, path) AS place FROM c""")
+def card_places(spark, sf_dir):
+    """Cards in three tiers: by last audit, by creation, by path."""
+    last = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    created = F.when(F.col("c_custkey") % 3 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 40).cast("int")))
+    cards = table(spark, sf_dir, "customer").select("c_custkey", F.expr("'C' || c_custkey").alias("path"), created.alias("created")).join(last, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return A.numbered(cards, A.card_order(cards)).select("path", "place")
+
+
+@registered("SELECT note, audit_type, ts, row_number() OVER (ORDER BY ts DESC NULLS LAST, note, audit_type) AS place FROM (SELECT o_custkey AS note, o_orderstatus AS audit_type, CASE WHEN o_orderkey % 100 > 0 THEN o_orderdate END AS ts FROM orders)")
+def history_places(spark, sf_dir):
+    """The whole history, newest first."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("note"), F.col("o_orderstatus").alias("audit_type"), F.when(F.col("o_orderkey") % 100 > 0, F.col("o_orderdate")).alias("ts"))
+    return A.numbered(rows, A.history_order())
+
+
+@registered("SELECT o_orderkey AS name, year, row_number() OVER (ORDER BY year NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders)")
+def chronology_places(spark, sf_dir):
+    """Titles by year, undated ones last."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 7 > 0, F.year("o_orderdate")).alias("year"))
+    return A.numbered(rows, A.chronological_order())

@@ -211,6 +211,21 @@ def plan_of_rename(spark, sf_dir):
     return X.rename_plan(made.links, made.embeds, "Cust_7", "Cust_new")
 
 
+_CARD = "'Card_' || substr(md5(CAST({0} AS VARCHAR(20))), 1, 12)"
+_TYPO = f"CASE WHEN o_orderkey % 3 = 0 THEN upper({_CARD}) WHEN o_orderkey % 3 = 1 THEN substr({_CARD}, 1, 7) || substr({_CARD}, 9) ELSE substr({_CARD}, 1, 9) || 'xy' || substr({_CARD}, 12) END".replace("{0}", "o_custkey")
+
+
+@registered(f"""WITH o AS (SELECT o_orderkey AS line, {_TYPO} AS target FROM orders), d AS (SELECT DISTINCT target FROM o), n AS (SELECT {_CARD.format("c_custkey")} AS name FROM customer),
+    m AS (SELECT target, name, levenshtein(lower(target), lower(name)) AS distance FROM d JOIN n ON levenshtein(lower(target), lower(name)) <= 2),
+    r AS (SELECT *, min(distance) OVER (PARTITION BY target) AS least FROM m), b AS (SELECT target, min(name) AS proposal, CAST(any_value(distance) AS INTEGER) AS distance, count(*) AS n_names FROM r WHERE distance = least GROUP BY target)
+    SELECT 'P' AS path, line, target, proposal, distance, n_names FROM o JOIN b USING (target)""")
+def plan_of_fixes(spark, sf_dir):
+    """Links with planted typos (another case, one character less, two others), and the nearest names."""
+    rows = spread(table(spark, sf_dir, "orders")).select(F.lit("P").alias("path"), F.col("o_orderkey").alias("line"), F.expr(_TYPO).alias("target"))
+    names = spread(table(spark, sf_dir, "customer")).select(F.expr(_CARD.format("c_custkey")).alias("name"))
+    return X.fix_plan(rows, names)
+
+
 @registered(f"WITH {_C} SELECT path, {_NAME}k AS name, 15 AS line, 'Other.png' AS file FROM c WHERE k % 6 = 0")
 def plan_of_image(spark, sf_dir):
     made = tables(spark, sf_dir)

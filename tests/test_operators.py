@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import aggregates as A
 from lodestar.operators import graph as G
+from lodestar.operators import profile as X
 from lodestar.operators import retrieval as R
 from lodestar.sources.ledger import malformed_count, parse_ledger, read_ledger, valid
 from lodestar.streaming.refresh import distinct_measurements, ledger_stream, note_stream, run_batches
@@ -138,3 +139,23 @@ def test_spread(spark, tmp_path):
     assert spread(one).rdd.getNumPartitions() == 4 and spread(one).count() == 100
     many = one.repartition(3)
     assert spread(many) is many
+
+
+def test_mentions_both_ways(spark, monkeypatch):
+    """The automaton and the join on words find the same, at the edges of words in any script."""
+    lines = ["Ann Lee met ann-lee and ANN  LEE", "annlee xann lee ann lee_ _ann lee", "C++ and c++x, Straße STRASSE", "я Мария-сан, марияс Мария", "one two one", None, "", "foo_bar foo", "ann lee", "İstanbul istanbul"]
+    terms = [("A", "Ann Lee"), ("A", "ann"), ("C", "C++"), ("S", "straße"), ("M", "Мария"), ("M", "мария-сан"), ("O", "one two one"), ("F", "foo"), ("F", "foo_bar"), ("N", "++"), ("N", None), ("I", "istanbul")]
+    rows = spark.createDataFrame(list(enumerate(lines)), "line long, text string")
+    named = spark.createDataFrame(terms, "target string, term string")
+    one = sorted(tuple(x) for x in G.text_mentions(rows, named, keys=["line"]).collect())
+    monkeypatch.setattr("lodestar.operators.mentions.MOST_TERMS", 3)
+    assert one == sorted(tuple(x) for x in G.text_mentions(rows, named, keys=["line"]).collect()) and len(one) > 12
+    assert G.text_mentions(rows, named.limit(0), keys=["line"]).count() == 0
+
+
+def test_fixes_by_shortened_names(spark):
+    names = ["Ann_Lee", "Ann_Leo", "Bo", "Violet_Evergarden", "violet"]
+    targets = ["ann_lee", "Anm_Lee", "Ann_Le", "Boo", "Violet_Evergardne", "Voilet", "Nothing_like_it", "Bo.md", ""]
+    plan = X.fix_plan(spark.createDataFrame([("p", k, t) for k, t in enumerate(targets)], "path string, line int, target string"), spark.createDataFrame([(x,) for x in names], "name string"))
+    got = {x.target: (x.proposal, x.distance, x.n_names) for x in plan.collect()}
+    assert got == {"ann_lee": ("Ann_Lee", 0, 1), "Anm_Lee": ("Ann_Lee", 1, 1), "Ann_Le": ("Ann_Lee", 1, 2), "Boo": ("Bo", 1, 1), "Violet_Evergardne": ("Violet_Evergarden", 2, 1), "Voilet": ("violet", 2, 1), "Bo.md": ("Bo", 0, 1), "": ("Bo", 2, 1)}
