@@ -12,7 +12,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,9 +53,9 @@ NEUTRAL_WORDS = set(
 #: With one of these in front a mark tells of the page's layout, not of what its element is.
 LAYOUT_MARK = re.compile(r"(?:with|has|no|without)[_-]")
 PARTS = re.compile(r"[a-z]+")
-#: A mark that doesn't name boilerplate counts as such where its weight is below this. No more marks than these have a
-#: weight of their own, those with most words first; others have the prior's.
-MARK_LIMIT, MOST_MARKS, MARK_PRIOR = -2.0, 10_000, (20.0, 5.0)
+#: A mark that doesn't name boilerplate counts as such where its weight, the log-odds that its words are content, is below this.
+#: Up to so many such marks are sent to all tasks; where a crawl has more, pages are joined with their own.
+MARK_LIMIT, MARK_PRIOR, MOST_SENT_MARKS = -2.0, (20.0, 5.0), 50_000
 #: So many keys are counted in a task before they are handed on.
 MOST_KEYS = 100_000
 #: Words in the document before any page is counted: inside and outside of articles, by kind of element.
@@ -192,11 +192,6 @@ class Weights:
         self.counted = counted
         self.words: dict[str, float] = {}
         self.tags: dict[str, float] = {}
-        a, b = MARK_PRIOR
-        self.boiler_marks = {mark for (kind, mark), (x, y) in counted.items() if kind == "mark" and math.log((x + a) / (y + b)) < MARK_LIMIT}
-
-    def boiler(self, mark: str) -> bool:
-        return mark in self.boiler_marks or named_boiler(mark)
 
     def word(self, key: str) -> float:
         """Log-odds that a word of this kind is content, with a prior's counts."""
@@ -227,8 +222,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def main_text(page: str, weights: Weights) -> str:
-    parts = segments(page, weights.boiler)
+def main_text(page: str, weights: Weights, boiler_marks: Container[str] = ()) -> str:
+    """boiler_marks: marks that count as boilerplate by their weight, of this page at least."""
+    parts = segments(page, lambda mark: mark in boiler_marks or named_boiler(mark))
     scores = [(weights.tag(x.key) if x.text is None else weights.word(x.key) * len(x.text.split())) * (LEFT_OUT if x.boiler else 1) for x in parts]
     a, b = best_region(scores)
     blocks, now = [], []
@@ -242,8 +238,9 @@ def main_text(page: str, weights: Weights) -> str:
     return " ".join(y for x in blocks if (y := " ".join(html.unescape(x).split())))
 
 
-def learned_weights(pages: DataFrame) -> Weights:
-    """Counts of all labelled pages, summed in Spark. To the driver come the fixed set of keys and MOST_MARKS marks at most."""
+def learned_weights(pages: DataFrame) -> tuple[Weights, DataFrame]:
+    """Counts of all labelled pages, summed in Spark. To the driver comes the fixed set of keys; a table holds each mark whose
+    weight makes it boilerplate."""
     kinds = pa.schema([("kind", pa.string()), ("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
     batch_of = lambda total: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((*k, *v) for k, v in total.items())), kinds)], schema=kinds)
 
@@ -263,8 +260,26 @@ def learned_weights(pages: DataFrame) -> Weights:
 
     labelled = pages.where(F.lower("html").contains("<article")).select(raw("html").alias("html"))
     summed = written(labelled.mapInArrow(run, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")))
-    fixed, marks = summed.where("kind != 'mark'"), summed.where("kind = 'mark'").orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(MOST_MARKS)
-    return Weights({(x.kind, x.key): (float(x.inside), float(x.outside)) for x in fixed.union(marks).collect()})
+    fixed = summed.where("kind != 'mark'").collect()
+    inside, outside = MARK_PRIOR
+    marks = summed.where((F.col("kind") == "mark") & (F.log((F.col("inside") + inside) / (F.col("outside") + outside)) < MARK_LIMIT)).select(F.col("key").alias("mark"))
+    return Weights({(x.kind, x.key): (float(x.inside), float(x.outside)) for x in fixed}), marks
+
+
+def with_own_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (with html) and `boiler_marks`: those of the table that the page has. Marks meet pages' distinct marks; a page's own
+    are few, and equal pages meet them once."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html", 8 << 20):
+                own = [sorted({x for token in TOKEN.findall(utf8(page)) if token[:1] == "<" for x in marks_of(token)}) for page in batch.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(own, pa.list_(pa.string()))], names=["page", "own"])
+
+    named = rows.withColumn("page", F.sha2("html", 256))
+    of_page = named.select("page", "html").dropDuplicates(["page"]).mapInArrow(found, "page string, own array<string>").select("page", F.explode("own").alias("mark"))
+    met = of_page.join(marks, "mark").groupBy("page").agg(F.collect_set("mark").alias("boiler_marks"))
+    return named.join(met, "page", "left").drop("page")
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
@@ -273,14 +288,18 @@ def html_extract(pages: DataFrame) -> DataFrame:
     Null or empty html, and pages without content: empty text. Repeated rows give repeated rows, an empty table an empty
     result; other columns are ignored. Without labelled pages the prior's weights hold.
     """
-    weights = learned_weights(pages)
+    weights, marks = learned_weights(pages)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw("html").alias("html"))
+    sent = marks.count() <= MOST_SENT_MARKS
+    rows = rows.withColumn("boiler_marks", F.lit(None).cast("array<string>")) if sent else with_own_marks(rows, marks)
+    everywhere = frozenset(x.mark for x in marks.collect()) if sent else frozenset()
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html", 8 << 20):
-                texts = [main_text(utf8(x), weights) for x in batch.column("html").to_pylist()]
+                texts = [main_text(utf8(x), weights, everywhere if own is None else set(own)) for x, own in zip(batch.column("html").to_pylist(), batch.column("boiler_marks").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(texts, pa.string())], schema=kinds)
 
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw("html").alias("html")).mapInArrow(run, "page_id long, url string, text string")
+    out = rows.mapInArrow(run, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
