@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.layout import stored
+from lodestar.functions.stems import stems
 from lodestar.functions.text import tokens
 from lodestar.operators.retrieval import B, DEFAULT_K, K1
 
 #: Folders of terms; levels of impact; documents of one term, level and share, about.
-FOLDERS, LEVELS, SHARE = 256, 16, 4096
+FOLDERS, LEVELS, SHARE = 64, 16, 4096
 #: A candidate list is cut in so many parts before the best of a query meet in one task.
 PARTS = 32
 STATISTICS = "n long, average double, shares int"
@@ -38,11 +39,13 @@ def weight(df: Column, n: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes the index of docs (key, text) to path. A null text counts as one without words, as it does in bm25."""
-    # the array passes a generator so that no later step splits a text again
-    split = docs.select(F.col(key).alias("key"), F.explode(F.array(F.coalesce(tokens(text), F.array().cast("array<string>")))).alias("t"))
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> None:
+    """Writes the index of docs (key, text) to path; null texts are in no count. stemmed: of all forms of a word together, to be
+    asked for by stems."""
+    # arrays pass a generator so that no later step splits a text again
     known = docs.where(F.col(text).isNotNull())
+    split = known.select(F.col(key).alias("key"), F.explode(F.array(stems(tokens(text)) if stemmed else tokens(text))).alias("t"))
+    # stems are as many as tokens
     statistics = known.select(F.explode(F.array(tokens(text))).alias("t")).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("average"))
     statistics.select("n", "average", F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).cast("int").alias("shares")).write.mode("overwrite").parquet(f"{path}/statistics")
     one = F.broadcast(docs.sparkSession.read.schema(STATISTICS).parquet(f"{path}/statistics"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.stems import stem, stems
 from lodestar.functions.text import byte_length, tokens
 
 # Robertson and Zaragoza 2009; Cormack et al. 2009.
@@ -19,15 +20,16 @@ def clamp_k(k: int = DEFAULT_K, hard: bool = False) -> int:
     return max(0, min(k, HARD_K if hard else MOST_K))
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
     """key, score of each document with a term. Only the query's terms are counted, in one pass; statistics cover all rows.
 
     Texts are read and split once: what goes on is a few numbers a row, dealt out by key, and both the statistics and the
-    scores are made from that one exchange. The array passes a generator so that no later step splits a text again.
+    scores are made from that one exchange. The array passes a generator so that no later step splits a text again. stemmed:
+    forms of one word, English or Russian, count as one term.
     """
-    terms = list(dict.fromkeys(x.lower() for x in terms))
+    terms = list(dict.fromkeys(stem(x.lower()) if stemmed else x.lower() for x in terms))
     count = lambda term: F.size("__t") - F.size(F.array_remove("__t", term))
-    split = docs.select(key, F.explode(F.array(tokens(text))).alias("__t"))
+    split = docs.select(key, F.explode(F.array(stems(tokens(text)) if stemmed else tokens(text))).alias("__t"))
     counted = split.select(key, F.size("__t").alias("length"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms))).repartition(key)
     n = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     # the statistics are one row
@@ -79,10 +81,10 @@ def within_budget(results: DataFrame, order: list[str], text: str = "text", budg
     return summed.withColumn("is_full", full).withColumn(text, F.when(full, F.col(text)))
 
 
-def search(chunks: DataFrame, terms: list[str] | None = None, query: list[float] | None = None, mode: str = "hybrid", k: int = DEFAULT_K, min_score: float | None = None, section_path_prefix: str | None = None, budget: int = BUDGET, verbosity: str = "lean", key: str = "chunk_id", candidates: int = HARD_K) -> DataFrame:
+def search(chunks: DataFrame, terms: list[str] | None = None, query: list[float] | None = None, mode: str = "hybrid", k: int = DEFAULT_K, min_score: float | None = None, section_path_prefix: str | None = None, budget: int = BUDGET, verbosity: str = "lean", key: str = "chunk_id", candidates: int = HARD_K, stemmed: bool = False) -> DataFrame:
     """Chunks by `mode` (hybrid, bm25, dense), filtered, cut to k and to the byte budget. full adds the score's components.
 
-    A score counts all chunks, whatever the filter leaves.
+    A score counts all chunks, whatever the filter leaves. stemmed: words match in all their forms.
     """
     pool = chunks.where(F.col("section_path").startswith(section_path_prefix)) if section_path_prefix else chunks
     within = lambda scored: scored.join(pool.select(key), key, "left_semi") if section_path_prefix else scored
@@ -90,7 +92,7 @@ def search(chunks: DataFrame, terms: list[str] | None = None, query: list[float]
     if mode in ("hybrid", "dense") and query:
         lists["dense"] = top_k(dense(pool, query, key), candidates, key, hard=True)
     if mode in ("hybrid", "bm25") and terms:
-        lists["bm25"] = top_k(within(bm25(chunks, terms, key)), candidates, key, hard=True)
+        lists["bm25"] = top_k(within(bm25(chunks, terms, key, stemmed=stemmed)), candidates, key, hard=True)
     if not lists:
         raise ValueError(f"{mode} needs terms or a query vector")
     scored = fuse({name: ranked(df, key) for name, df in lists.items()}, key) if mode == "hybrid" else next(iter(lists.values()))

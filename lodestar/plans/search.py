@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lodestar.functions.layout import shared_folder
 from lodestar.functions.text import tokens
 from lodestar.operators import postings as PI
+from lodestar.operators import retrieval as R
+from lodestar.operators import vectors as V
 from lodestar.plans.catalog import registered, table, texts
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -27,3 +29,27 @@ def postings_search(spark, sf_dir):
     index = shared_folder(spark)
     PI.build(texts(spark, sf_dir), index)
     return PI.search(spark, index, four_words(spark, sf_dir)).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@registered("SELECT count(*) AS queries, CAST(12 * count(*) AS BIGINT) AS wanted, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf_dir):
+    """Approximate neighbours of every fiftieth vector against exact ones among all: at least 0.95 of them are found."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    queries = rows.where("key % 50 = 0").withColumnRenamed("key", "query")
+    index = shared_folder(spark)
+    model = V.build(rows, index, "key", "vector")
+    met = V.recall(V.search(spark, index, model, queries), V.exhaustive(rows, queries))
+    return met.select("queries", "wanted", (F.col("met") >= 0.95 * F.col("wanted")).alias("good"))
+
+
+_FORMS = ["CASE WHEN c_custkey % 3 = 0 THEN 'The agent called about shipping' WHEN c_custkey % 3 = 1 THEN 'agents calling, and calling again' ELSE 'nothing was national' END", "c_mktsegment"]
+
+
+@registered(f"""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN 2 ELSE 0 END AS a, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS b, CASE WHEN c_custkey % 3 = 2 THEN 4 ELSE 6 END AS length FROM customer),
+    s AS (SELECT count(*) AS n, avg(length) AS average, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d)
+    SELECT c_custkey, round(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * length / average)) ELSE 0 END
+      + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * length / average)) ELSE 0 END, 6) AS score FROM d, s WHERE a > 0 OR b > 0""")
+def stemmed_search(spark, sf_dir):
+    """Forms of a word meet: calls finds called and calling, ships finds shipping."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"concat_ws(' ', {', '.join(_FORMS)})").alias("text"))
+    return R.bm25(rows, ["Calls", "ships"], "c_custkey", stemmed=True).select("c_custkey", F.round("score", 6).alias("score"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.cuts import cut_texts
 from lodestar.functions.text import IMAGE, INLINE_LINK, URL, WIKI_LINK, basename, folder, mask_inline_code
 
 CORE = "type string, domain string, stability string, priority string, note_kind string, quality string, co_authored string, created string, updated string, tags array<string>, aliases array<string>"
@@ -196,11 +197,19 @@ def table_rows(lines: DataFrame) -> DataFrame:
     return head.select("path", "line", F.col("head.line").alias("table_id"), F.size("cells").alias("n_cells"), "cells", F.col("head.n").alias("header_cells"), raw_pipe(F.col("text")).alias("raw_pipe"))
 
 
-def chunks(notes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Sections as chunks: chunk_id, note_path, section_path, text, n_bytes. Sections with equal headings are chunks of their own."""
+def chunks(notes: DataFrame, lines: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Sections as chunks: chunk_id, note_path, section_path, text, n_bytes. Sections with equal headings are chunks of their own.
+
+    most_bytes: longer sections are cut by their content (functions.cuts), so that an edit changes few chunks and no others'
+    ids: these come from the text then.
+    """
     nth = F.count_if("is_heading").over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     body = lines.where("not in_frontmatter").withColumn("nth", nth).groupBy("path", "section_path", "nth").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return body.where(F.trim("text") != "").select(F.xxhash64("path", "section_path", "nth").alias("chunk_id"), F.col("path").alias("note_path"), "section_path", "text", F.octet_length("text").alias("n_bytes"))
+    told = body.where(F.trim("text") != "")
+    if most_bytes is None:
+        return told.select(F.xxhash64("path", "section_path", "nth").alias("chunk_id"), F.col("path").alias("note_path"), "section_path", "text", F.octet_length("text").alias("n_bytes"))
+    parts = told.select("path", "section_path", F.explode(cut_texts(F.col("text"), most_bytes)).alias("x"))
+    return parts.select(F.xxhash64("path", "section_path", "x.text", "x.before").alias("chunk_id"), F.col("path").alias("note_path"), "section_path", "x.text", F.octet_length("x.text").alias("n_bytes"))
 
 
 def variant_edges(notes: DataFrame, field: str, target: str | None = None, **attributes: str) -> DataFrame:

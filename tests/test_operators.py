@@ -159,3 +159,82 @@ def test_fixes_by_shortened_names(spark):
     plan = X.fix_plan(spark.createDataFrame([("p", k, t) for k, t in enumerate(targets)], "path string, line int, target string"), spark.createDataFrame([(x,) for x in names], "name string"))
     got = {x.target: (x.proposal, x.distance, x.n_names) for x in plan.collect()}
     assert got == {"ann_lee": ("Ann_Lee", 0, 1), "Anm_Lee": ("Ann_Lee", 1, 1), "Ann_Le": ("Ann_Lee", 1, 2), "Boo": ("Bo", 1, 1), "Violet_Evergardne": ("Violet_Evergarden", 2, 1), "Voilet": ("violet", 2, 1), "Bo.md": ("Bo", 0, 1), "": ("Bo", 2, 1)}
+
+
+def test_streams_compose(spark, tmp_path):
+    """A note stream feeds the parser batch by batch; the keyed state of a ledger equals the batch operators over all files."""
+    from lodestar.sources import notes as N
+    from lodestar.streaming.refresh import STATE_STORE, latest_rows
+
+    notes = tmp_path / "vault"
+    (notes / "WORKS").mkdir(parents=True)
+    (notes / "WORKS/A b.md").write_text("---\nscore: 7\n---\n# A\nSee [[B]]\n")
+    got = []
+    run_batches(note_stream(spark, str(notes)), lambda df: got.extend(N.links(N.note_lines(N.parse(df))).select("path", "line", "target").collect()), str(tmp_path / "c1")).awaitTermination()
+    assert [tuple(x) for x in got] == [("WORKS/A b.md", 5, "B")]
+
+    spark.conf.set(*STATE_STORE)
+    source, seen = tmp_path / "ledger", {}
+    source.mkdir()
+    row = lambda note, axis, ts, score, fix=False: json.dumps({"note": note, "audit_type": axis, "ts": ts, "score": score, "fixes_applied": fix})
+    files = [
+        [row("a", "content", "2024-01-01", 1), row("a", "content", "2024-01-01", 2), row("a", "structural", "2024-01-02", 3, True), "{bad", "", row("b", "content", "2024-01-01", 4)],
+        [row("a", "content", "2024-01-01", 5), row("a", "content", "2024-01-03", 6), row("b", "content", "2023-12-31", 7), row("c", "content", "2024-02-01", 8), row("c", "content", "2024-02-02", 9)],
+    ]
+    for k, lines in enumerate(files):
+        (source / f"{k}.jsonl").write_text("\n".join(lines))
+        stream = latest_rows(ledger_stream(spark, str(source)))
+        run_batches(stream, lambda df: seen.update({(x.note, x.audit_type): (x.ts, x.score, x.pristine) for x in df.collect()}), str(tmp_path / "c2"), "update").awaitTermination()
+    text = spark.createDataFrame([(x, k, i) for k, lines in enumerate(files) for i, x in enumerate(lines)], "value string, file int, at long")
+    rows = valid(parse_ledger(text.withColumn("file_pos", F.col("file") * 100 + F.col("at")).drop("file", "at")))
+    batch = {(x.note, x.audit_type): (x.ts, x.score) for x in A.latest(rows, ["note", "audit_type"], "ts", ["file_pos"]).collect()}
+    assert {k: v[:2] for k, v in seen.items()} == batch
+    assert {k: v[2] for k, v in seen.items()} == {("a", "content"): False, ("a", "structural"): True, ("b", "content"): True, ("c", "content"): True}
+
+
+def test_cuts_depend_on_content(spark):
+    """Parts stay under the bound, join to the text, and an edit changes at most two of them, in prose and without spaces."""
+    import random
+
+    from lodestar.functions.cuts import cut_places, cut_texts
+
+    rng = random.Random(5)
+    parts = lambda data, most: [data[a:b] for a, b in zip([0, *cut_places(data, most)], [*cut_places(data, most), len(data)])]
+    moved = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(2500)]
+        text = " ".join(words) if k % 4 else "".join(words)
+        before = parts(text.encode(), 1000)
+        assert b"".join(before).decode() == text and max(map(len, before)) <= 1000 and all(x.decode() for x in before)
+        at = rng.randrange(len(text))
+        after = parts((text[:at] + rng.choice(["x", "new words here ", ""]) + text[at + rng.randint(0, 5) :]).encode(), 1000)
+        moved.append(len(set(after) - set(before)))
+    assert max(moved) <= 4 and sum(x <= 2 for x in moved) >= 57
+    assert cut_places(b"", 8) == [] and parts("é".encode() * 50, 9) and all(x.decode() for x in parts("é".encode() * 50, 9))
+    row = spark.createDataFrame([("aa " * 40,), (None,)], "text string").select(cut_texts(F.col("text"), 16).alias("x")).collect()
+    assert "".join(x.text for x in row[0].x) == "aa " * 40 and len({(x.text, x.before) for x in row[0].x}) == len(row[0].x)
+
+
+def test_approximate_neighbours(spark):
+    """Null, zero, short and repeated vectors have a defined place, and most neighbours are found."""
+    import numpy as np
+
+    from lodestar.functions.layout import shared_folder
+    from lodestar.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    data = [(k, (centres[k % 12] + 0.6 * rng.normal(size=16)).tolist()) for k in range(1500)]
+    data += [(5000 + k, centres[0].tolist()) for k in range(400)] + [(9000, None), (9001, [0.0] * 16), (9002, [1.0]), (9003, [None] * 16), (9004, [float("nan")] * 16)]
+    rows = spark.createDataFrame(data, "key long, vector array<double>")
+    queries = rows.where("key % 50 = 0").withColumnRenamed("key", "query")
+    path = shared_folder(spark)
+    model = V.build(rows, path, "key", "vector", cells=20)
+    found, wanted = V.search(spark, path, model, queries, probes=8), V.exhaustive(rows, queries)
+    total = V.recall(found, wanted).first()
+    assert total.wanted == 12 * total.queries and total.met >= 0.9 * total.wanted
+    want = R.top_k(R.dense(rows.where("key < 9001"), data[50][1], "key", "vector"), 12, "key").collect()
+    got = wanted.where("query = 50").orderBy("rank").collect()
+    assert [x.key for x in got] == [x.key for x in want] and all(abs(a.score - b.score) < 1e-9 for a, b in zip(got, want))
+    empty = V.build(rows.limit(0), shared_folder(spark), "key", "vector")
+    assert len(empty.cells) == 1
