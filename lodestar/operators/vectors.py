@@ -171,12 +171,16 @@ def exhaustive(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sides = []
+                sides: list[dict[int, list]] = []
                 for name in ("asked", "rows"):
-                    own = [x for x in row[name] if x["vector"] and None not in x["vector"]]
-                    sides.append((np.array([x["key"] for x in own], np.int64), np.array([x["vector"] for x in own])))
-                (asked, a), (keys, b) = sides
-                if len(asked) and len(keys):
+                    of_size: dict[int, list] = {}
+                    for x in row[name]:
+                        if x["vector"] and None not in x["vector"]:
+                            of_size.setdefault(len(x["vector"]), []).append(x)
+                    sides.append(of_size)
+                # vectors of unlike sizes have no angle
+                for size in sides[0].keys() & sides[1].keys():
+                    (asked, a), (keys, b) = ((np.array([x["key"] for x in own[size]], np.int64), np.array([x["vector"] for x in own[size]])) for own in sides)
                     with np.errstate(invalid="ignore", divide="ignore"):
                         total = (a @ b.T) / np.sqrt((a * a).sum(1))[:, None] / np.sqrt((b * b).sum(1))
                     total = np.where(np.isfinite(total), total, -np.inf)
