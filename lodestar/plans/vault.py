@@ -185,6 +185,38 @@ def lint_all(spark, sf_dir):
     return all_issues(spark, sf_dir, tables(spark, sf_dir), show_all=True).groupBy("path", "rule", "severity", "stream").agg(F.count("*").alias("n"))
 
 
+#: Lines of notes that break the rules which the others keep.
+ODD_LINES = [
+    "'---'", "'type: card'", "'note_kind: anime'", "'tags: [x]'", "if(k % 4 = 0, 'images: {}', 'images: {cover: a.png}')",
+    "'works: [{title: T, roles: [voice-actor' || if(k % 6 = 0, ', director]', ']') || if(k % 6 = 1, '}]', ', character: C}]')",
+    "'personal_status: ' || if(k % 3 = 0, 'completed', if(k % 3 = 1, 'plan-to-watch', 'watching'))", "'episodes: 12'",
+    "'last_episode_watched: ' || if(k % 3 = 0, if(k % 2 = 0, '12', '5'), if(k % 2 = 0, 'null', '3'))", "'times_watched: ' || if(k % 3 = 0, 1, k % 2)", "'---'",
+    "'# Head' || if(k % 7 = 0, ' [[Card_' || (k + 1) || ']]', '')", "if(k % 5 = 0, 'No link here.', 'See [[Card_' || (k + 1) || ']].')",
+]
+_ODD = [
+    ("k % 5 = 0 AND k % 7 <> 0", "no-outgoing-link", "ERROR"), ("k % 7 = 0", "link-in-heading", "ERROR"), ("k % 11 = 0", "name-shape", "ERROR"), ("k % 6 < 2", "voice-record", "ERROR"), ("k % 4 = 0", "missing-cover", "INFO"),
+    ("CASE WHEN k % 3 = 2 THEN k % 2 = 0 ELSE k % 2 = 1 END", "progress", "WARN"), ("(k % 5 <> 0 OR k % 7 = 0) AND (k + 1) % 11 <> 0 AND k < (SELECT max(c_custkey) FROM customer)", "asymmetric-link", "WARN"),
+]
+
+
+@registered(" UNION ALL ".join(f"SELECT 'CARDS/Card' || CASE WHEN k % 11 = 0 THEN ' ' ELSE '_' END || k || '.md' AS path, '{rule}' AS rule, '{severity}' AS severity FROM (SELECT c_custkey AS k FROM customer) WHERE {where}" for where, rule, severity in _ODD))
+def lint_odd_notes(spark, sf_dir):
+    """Notes without a link, with a link in a heading, an odd name, mixed voice records, no cover, wrong progress, and one-way links."""
+    k = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("k"))
+    rows = k.select(F.expr("'Card' || if(k % 11 = 0, ' ', '_') || k").alias("name"), F.expr(f"concat_ws(char(10), {', '.join(ODD_LINES)})").alias("text"))
+    odd = rows.select(F.concat(F.lit("CARDS/"), "name", F.lit(".md")).alias("path"), "name", F.lit("CARDS").alias("folder"), F.lit(None).cast("timestamp").alias("mtime"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("content_hash"), "text")
+    notes = N.parse(odd)
+    found = L.lint(N.NoteTables(notes, N.note_lines(notes)), Settings(reciprocity_pairs=[("anime", "anime")]))
+    return found.where(F.col("rule").isin(*(rule for _, rule, _ in _ODD))).select("path", "rule", "severity")
+
+
+@registered("SELECT 'img/' || p_brand || '/' || p_partkey || '.png' AS path, p_partkey || '.png' AS detail FROM part WHERE p_size % 3 > 0")
+def attachments_misplaced(spark, sf_dir):
+    """Files outside of the top folder for attachments."""
+    top = F.when(F.col("p_size") % 3 == 0, "attachments").otherwise("img")
+    return L.misplaced(table(spark, sf_dir, "part").select(F.concat_ws("/", top, "p_brand", F.concat("p_partkey", F.lit(".png"))).alias("path")), "attachments").select("path", "detail")
+
+
 @registered(f"WITH {_C}, i AS (SELECT path, severity FROM ({_LINT})) SELECT path, count(*) FILTER (severity = 'ERROR') AS errors, false AS structural_green FROM i GROUP BY path")
 def lint_gate(spark, sf_dir):
     """Structural errors by note: the gate."""
