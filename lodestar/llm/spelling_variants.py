@@ -116,45 +116,52 @@ def prefixes(words: DataFrame) -> DataFrame:
 
 def chains(steps: DataFrame) -> DataFrame:
     """Of each word's prefixes those that are nodes: where words branch, end or start. below, shortest, longest: how many words
-    have the prefix, and their lengths."""
-    nodes = steps.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("start").alias("some"), F.count("*").alias("below"), F.min("size").alias("shortest"), F.max("size").alias("longest"))
-    nodes = nodes.where("lo = 0 or lo < hi or some").select("node", "below", "shortest", "longest")
+    have the prefix, and their lengths; follow: a bit for each letter that comes next (letters may share one)."""
+    follow = F.bit_or(F.expr("if(next > 0, shiftleft(1L, next % 64), 0L)"))
+    nodes = steps.groupBy("node").agg(
+        F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("start").alias("some"), F.count("*").alias("below"), F.min("size").alias("shortest"), F.max("size").alias("longest"), follow.alias("follow")
+    )
+    nodes = nodes.where("lo = 0 or lo < hi or some").select("node", "below", "shortest", "longest", "follow")
     return steps.drop("next").join(nodes, "node")
 
 
 def trie_edges(chain: DataFrame) -> DataFrame:
-    """node, label, child, word (the word that ends at the child), below, shortest, longest (of the child)."""
+    """node, label, child, word (the word that ends at the child), below, shortest, longest, follow (of the child)."""
     along = Window.partitionBy("back", "spelt").orderBy("pos")
-    after = F.lead(F.struct("pos", "node", "below", "shortest", "longest")).over(along)
+    after = F.lead(F.struct("pos", "node", "below", "shortest", "longest", "follow")).over(along)
     rows = chain.select("node", "back", "spelt", "size", "pos", after.alias("x")).where("x is not null")
     label = F.substring("spelt", F.col("pos") + 1, F.col("x.pos") - F.col("pos"))
     ends = F.when(F.col("x.pos") == F.col("size"), F.when(F.col("back"), F.reverse("spelt")).otherwise(F.col("spelt")))
-    return rows.select("node", label.alias("label"), "x.node", "x.below", "x.shortest", "x.longest", ends.alias("word")).toDF("node", "label", "child", "below", "shortest", "longest", "word").groupBy(
-        "node", "label", "child"
-    ).agg(F.max("word").alias("word"), F.max("below").alias("below"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    child = rows.select("node", label.alias("label"), F.col("x.node").alias("child"), ends.alias("word"), "x.below", "x.shortest", "x.longest", "x.follow")
+    return child.groupBy("node", "label", "child").agg(F.max("word").alias("word"), F.max("below").alias("below"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), F.bit_or("follow").alias("follow"))
 
 
 def one_level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States behind each edge that they can pass: spelt, back, pos, node, edits, size (that the other word must have; with no
-    edit yet that of the own one), and word where one ends."""
+    edit yet that of the own one), word where one ends, and whether it goes on."""
     piece = lambda n: F.substring("spelt", F.col("pos") + 1, n)
     n = F.char_length("label")
     same, shorter = piece(n), piece(n - 1)
     option = lambda when, pos, edits, size: F.when(when, F.struct(pos.alias("pos"), F.lit(edits).alias("edits"), size.alias("size")))
     fresh, size = F.col("edits") == 0, F.col("size")
-    edit = lambda own, length: (F.char_length(own) == length) & (F.levenshtein(own, F.col("label"), 1) == 1)
+    # of one letter any other is an edit
+    edit = lambda own, length: (F.char_length(own) == length) & F.when(n == 1, own != F.col("label")).otherwise(F.levenshtein(own, F.col("label"), 1) == 1)
     options = F.array_compact(F.array(
         F.when(same == F.col("label"), F.struct((F.col("pos") + n).alias("pos"), F.col("edits").alias("edits"), size.alias("size"))),
         option(fresh & edit(same, n), F.col("pos") + n, 1, size), option(fresh & edit(shorter, n - 1), F.col("pos") + n - 1, 1, size + 1),
     ))
     # what no word below can end is left out
     met = states.join(edges, "node").where((F.col("shortest") <= size + F.when(fresh, 1).otherwise(0)) & (F.col("longest") >= size))
-    passed = met.select("spelt", "back", "child", "word", "below", "shortest", "longest", F.explode(options).alias("x")).where(F.expr("shortest <= x.size + 1 - x.edits and longest >= x.size"))
+    passed = met.select("spelt", "back", "child", "word", "below", "shortest", "longest", "follow", F.explode(options).alias("x")).where(F.expr("shortest <= x.size + 1 - x.edits and longest >= x.size"))
     own = F.char_length("spelt")
-    ends = F.when((F.col("x.edits") == 1) & (F.col("x.pos") == own), F.col("word"))
-    rows = passed.select("spelt", "back", F.col("child").alias("node"), "x.pos", "x.edits", "x.size", ends.alias("word"), F.col("below"))
+    passed = passed.withColumn("ends", F.col("x.pos") == own)
+    # with its edit made, a state goes on only where the word's next letter does
+    goes_on = F.expr("x.edits = 0 or (not ends and (follow & shiftleft(1L, ascii(substring(spelt, x.pos + 1, 1)) % 64)) != 0)")
+    passed = passed.where(goes_on | (F.col("ends") & F.col("word").isNotNull())).withColumn("goes_on", goes_on & (F.col("below") > 1))
+    ends = F.when((F.col("x.edits") == 1) & F.col("ends"), F.col("word"))
+    rows = passed.select("spelt", "back", F.col("child").alias("node"), "x.pos", "x.edits", "x.size", ends.alias("word"), "goes_on")
     # nothing lies behind a node of one word
-    return rows.where("word is not null or below > 1")
+    return rows.where("word is not null or goes_on")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -171,7 +178,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         level = written(one_level(states, edges))
         ends = level.where("word is not null")
         found.append(ends.select(F.when(F.col("back"), F.reverse("spelt")).otherwise(F.col("spelt")).alias("a"), F.col("word").alias("b")))
-        states = level.where("below > 1").select("spelt", "back", "pos", "node", "edits", "size")
+        states = level.where("goes_on").select("spelt", "back", "pos", "node", "edits", "size")
         if states.isEmpty():
             break
     pairs = found[0]
