@@ -176,15 +176,20 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def grams(text: Column, mark: str, sizes: tuple[int, ...] = NGRAMS) -> Column:
-    """Character n-grams of a text between ^ and $, behind a mark that tells hosts' from paths'. All digits count as 0."""
-    chars = F.split(F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$")), "")
+def characters(text: Column) -> Column:
+    """The characters of a text between ^ and $. All digits count as 0."""
+    return F.split(F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$")), "")
+
+
+def grams(chars: Column, mark: str, sizes: tuple[int, ...] = NGRAMS) -> Column:
+    """Character n-grams, behind a mark that tells hosts' from paths'. chars: a column of its own, as each n-gram looks it up."""
     of = lambda n: F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, n), "")))).otherwise(F.array().cast("array<string>"))
     return F.concat(*map(of, sizes))
 
 
 def with_grams(urls: DataFrame, host: str, path: str, name: str) -> DataFrame:
-    return urls.withColumn(name, F.concat(grams(F.col(host), "h"), grams(F.col(path), "p")))
+    split = urls.withColumns({"__host_chars": characters(F.col(host)), "__path_chars": characters(F.col(path))})
+    return split.withColumn(name, F.concat(grams(F.col("__host_chars"), "h"), grams(F.col("__path_chars"), "p"))).drop("__host_chars", "__path_chars")
 
 
 def labelled_urls(spark: SparkSession, text: str = LABELLED) -> DataFrame:
