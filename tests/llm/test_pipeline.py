@@ -54,5 +54,5 @@ def test_run_over_a_folder(spark, tmp_path):
 
 
 def test_names():
-    assert {n for n in range(1, 11)} == {int(x[2:].split("_")[0]) for x in queries.QUERIES if x != "pipeline"}
+    assert {n for n in range(1, 14)} == {int(x[2:].split("_")[0]) for x in queries.QUERIES if x != "pipeline"}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
