@@ -6,9 +6,10 @@ around its high segment and its low segment itself, and complete distances are v
 fingerprints share is not expanded to pairs: there the ball in the other segment is enumerated too, up to the distance
 that is left, and whole fingerprints are looked up, which bounds the work for each fingerprint.
 
-simhash_groups links at a Hamming distance; simhash_dedup, for filtering, at a similarity of word shingles. Fingerprints
-would miss pairs there, the more the longer their segments are, so it looks up prefixes of the shingle sets themselves: two
-sets that are alike enough share a shingle of their prefixes, at every number of documents.
+simhash_groups links at a Hamming distance; simhash_dedup, for filtering, at a similarity of word shingles. It groups texts
+by their fingerprints first: pairs from the same lookups, each checked exactly, and their components. Fingerprints miss pairs
+at that similarity, so texts that are still apart meet by prefixes of their shingle sets: two sets that are alike enough share
+a shingle of their prefixes, at every number of documents.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def simhash_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-# ---- near duplicates by similarity: prefixes of the shingle sets, and an exact check behind them
+# ---- near duplicates by similarity: linked fingerprints, then prefixes of the shingle sets, and an exact check behind both
 
 #: Word shingles and their Jaccard similarity from which two texts are near duplicates.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
@@ -250,6 +251,24 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b")
 
 
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """nodes: node, fp. Pairs a < b that fingerprints propose: each node with the least one of its fingerprint, and that one with
+    the least one of all fingerprints that its own links to. No more than two pairs a node, however many fingerprints link."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(least, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = written(links(least.select("fp")))
+    both = pairs.union(pairs.select("b", "a")).toDF("fp", "other")
+    first = both.join(least.toDF("other", "holder"), "other").groupBy("fp").agg(F.min("holder").alias("holder")).join(least, "fp")
+    return same.union(first.select(F.least("least", "holder"), F.greatest("least", "holder")).distinct())
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b that aren't of one root yet. roots: node, root for each node that has a link."""
+    side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def on_slots(rows: DataFrame, of: DataFrame, column: str) -> DataFrame:
     """The rows whose number in `column` falls on a slot of one in `of`: all that join with it, and few others as long as `of`
     is small beside SLOTS. A join behind this moves only these."""
@@ -268,8 +287,9 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
             for batch in slices(whole, "text", 8 << 20):
                 data = batch.column("text").to_pylist()
                 owns = [shingle_set(x, width) for x in data]
+                fps = pa.array(np.array([fingerprint(x) for x in data], np.uint64).view(np.int64))
                 lists = [pa.array([f(x) for x in owns], pa.list_(pa.int64())) for f in (lambda x: prefix(x, similarity, often, counts), parity)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(map(text_key, data), pa.binary()), pa.array(map(len, owns), pa.int64()), *lists], names=["doc_id", "hash", "key", "size", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(map(text_key, data), pa.binary()), fps, pa.array(map(len, owns), pa.int64()), *lists], names=["doc_id", "hash", "key", "fp", "size", "prefix", "bits"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -282,8 +302,8 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     spark = docs.sparkSession
     # tables that a later step writes over, or that are emptied once they have served
     path = {x: new_path(spark) for x in ("rows", "nodes", "live", "next", "holders", "pairs", "ends", "own")}
-    rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, size long, prefix array<long>, bits array<long>"), path["rows"])
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "size", "prefix", "bits")).alias("x"))
+    rows = written(texts.mapInArrow(sketch, "doc_id long, hash long, key binary, fp long, size long, prefix array<long>, bits array<long>"), path["rows"])
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("hash", "fp", "size", "prefix", "bits")).alias("x"))
     # the numbers hold once they are written
     nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "x.*"), path["nodes"])
     rows = written(rows.select("doc_id", "key"))
@@ -296,7 +316,7 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
         """The pairs that are alike, by the shingles of just those texts that the sketches leave."""
         pairs = written(possible(met, nodes, similarity), path["pairs"])
         if pairs.isEmpty():
-            return spark.createDataFrame([], "a long, b long")
+            return spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
         ends = written(nodes.select("node", "key", "hash").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), path["ends"])
         # of equal texts one does; another text with this hash stays until its key is looked at
         met = on_slots(texts, ends, "hash").join(ends, "hash").withColumn("more", F.xxhash64(F.lit(1), "text")).dropDuplicates(["node", "more"])
@@ -305,9 +325,17 @@ def near_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
         shared = F.size(F.array_intersect("own_a", "own_b"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b"))
 
-    tried = written(ordered(live.where("node != holder.node").where(can_meet(similarity))))
+    # groups by fingerprints; what those miss meets by prefixes, unless it is of one group by then
+    tried = written(near_fingerprints(nodes.select("node", "fp")))
     alike = exact(tried)
     roots = components(alike)
+    met = ordered(live.where("node != holder.node").where(can_meet(similarity))).join(tried, ["a", "b"], "left_anti")
+    met = written(apart(met, roots))
+    more = exact(met)
+    if not more.isEmpty():
+        alike = alike.union(more)
+        roots = components(alike)
+    tried = tried.union(met)
     # a shingle that one set alone is indexed by is done with now, others once all that weren't its holder are of one root;
     # until then more of them become holders. Who was a holder still meets smaller ones
     live = live.where("several").select("token", "node", "size", "pos", (indexed(similarity) & (F.col("node") != F.col("holder.node"))).alias("waits"))

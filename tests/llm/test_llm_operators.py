@@ -570,6 +570,40 @@ def test_near_pairs_at_any_size(spark, monkeypatch):
     assert [g for g in range(60) if found[2 * g + 1] != 2 * g] == []
 
 
+def close_texts():
+    """Texts in threes: the second has one word more than the first, the third shares a long repeat with the fourth of another
+    three, so that fingerprints may be close though most shingles differ."""
+    texts = {}
+    for g in range(30):
+        words = [f"w{g}x{k}" for k in range(300)]
+        repeat = [f"r{g // 2}", "is", "said", "once", "again"] * 120
+        texts |= {3 * g: " ".join(words), 3 * g + 1: " ".join([*words, "more"]), 3 * g + 2: " ".join(repeat + [f"tail{g}x{k}" for k in range(60)])}
+    return texts
+
+
+def test_fingerprints_group_near_texts(spark, monkeypatch):
+    """Linked fingerprints alone group the texts that are alike, and none that isn't; prefixes don't meet those again."""
+    texts, first, met, possible = close_texts(), SH.first_holders, [], SH.possible
+    fps = {k: brute_fingerprint(t) for k, t in texts.items()}
+    close = {(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    alike = {(a, b) for a, b in close if jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(alike) >= 20 and len(close - alike) >= 5 and all(b == a + 1 for a, b in alike)
+    monkeypatch.setattr(SH, "possible", lambda pairs, nodes, similarity: (met.append(pairs.count()), possible(pairs, nodes, similarity))[1])
+    with monkeypatch.context() as m:
+        m.setattr(SH, "first_holders", lambda nodes, similarity: first(nodes, similarity).limit(0))
+        assert grouped(spark, texts) == {k: k - 1 if (k - 1, k) in alike else k for k in texts}
+    met.clear()
+    assert grouped(spark, texts) == {k: k - (k % 3 == 1) for k in texts}
+    assert met[0] == len(close) and sum(met[1:]) == 30 - len(alike)
+
+
+def test_near_texts_without_linked_fingerprints(spark, monkeypatch):
+    """What fingerprints don't link is found all the same."""
+    texts = close_texts()
+    monkeypatch.setattr(SH, "links", lambda fps: fps.selectExpr("fp a", "fp b").limit(0))
+    assert grouped(spark, texts) == {k: k - (k % 3 == 1) for k in texts}
+
+
 def test_near_bridge(spark):
     """A text that is like its least holder is still compared with the others that it met."""
     texts = {}
