@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from lodestar.llm import queries
 from lodestar.llm.quality_rules import measure
 from lodestar.llm.secret_scan import secret_spans
@@ -39,6 +40,15 @@ def test_stages(spark):
         out = spark.createDataFrame(rows, out.schema)
 
 
+def test_workers_get_a_few_megabytes(spark):
+    """A stage's Python workers never get a whole split of a table at once."""
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "repeat('word ', 2000) text", "'en' lang", "'s' source", "10000L n_chars")
+    corpus_pipeline.near_dedup(spark, docs.limit(0), "")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"]) for x in batches), "n long")
+    found = [r.n for r in sizes.collect()]
+    assert sum(found) > 40_000_000 and max(found) < 5_000_000
+
+
 def test_empty_table(spark):
     out = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
