@@ -57,13 +57,19 @@ def fix_plan(broken: DataFrame, notes: DataFrame, most: int = 2) -> DataFrame:
     proposal is the first of the nearest names. Names and targets meet on what is left of both without a few characters, never
     each with each; names that such a meeting brings together but are farther apart are left out.
     """
-    targets = broken.select("target").distinct().withColumn("plain", plain_name(F.col("target")))
-    names = notes.select("name").distinct().withColumn("plain", plain_name(F.col("name")))
-    # one hash for a shortened name: equal ones are verified below
-    keyed = lambda rows, column: rows.select(column, "plain", F.explode(F.array_distinct(F.transform(shortened(F.col("plain"), most), lambda x: F.xxhash64(x)))).alias("key"))
-    left, right = keyed(targets, "target").withColumnRenamed("plain", "wanted"), keyed(names, "name")
-    met = left.join(right, "key").where(F.levenshtein("wanted", "plain", most) >= 0)
-    near = met.select("target", "name", F.levenshtein("wanted", "plain", most).alias("distance")).distinct()
+    targets = broken.select("target").distinct().withColumn("plain", plain_name(F.col("target"))).withColumn("wanted", F.xxhash64("plain"))
+    names = notes.select("name").distinct().withColumnRenamed("name", "proposed").withColumn("plain", plain_name(F.col("proposed"))).withColumn("found", F.xxhash64("plain"))
+    # one hash for a text or a shortened one: equal ones are verified below
+    keyed = lambda rows, of, texts: rows.select(of, F.explode(F.array_distinct(F.transform(texts, lambda x: F.xxhash64(x)))).alias("key"))
+    known = names.select("found", F.col("plain").alias("known")).distinct()
+    asked = targets.select("wanted", "plain").distinct().join(known, F.col("plain") == F.col("known"), "left")
+    # a target that is a name but for case and suffix has no nearer one, and is not shortened
+    left = keyed(asked, "wanted", F.when(F.col("known").isNotNull(), F.array("plain")).otherwise(shortened(F.col("plain"), most)))
+    right = keyed(known, "found", shortened(F.col("known"), most))
+    # Spark takes the side of names for as small as before they were shortened, and would broadcast it
+    pairs = left.join(right.hint("merge"), "key").select("wanted", "found").distinct()
+    met = pairs.join(targets, "wanted").join(names.withColumnRenamed("plain", "proposed_plain"), "found")
+    near = met.select("target", F.col("proposed").alias("name"), F.levenshtein("plain", "proposed_plain", most).alias("distance")).where("distance >= 0")
     best = near.groupBy("target").agg(F.min(F.struct("distance", "name")).alias("x"))
     counted = near.join(best, "target").where("distance = x.distance").groupBy("target").agg(F.first("x").alias("x"), F.count("*").alias("n_names"))
     return broken.join(counted, "target").select("path", "line", "target", F.col("x.name").alias("proposal"), F.col("x.distance").alias("distance"), "n_names")

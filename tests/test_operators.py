@@ -1,6 +1,7 @@
 """Operators on small literal tables: ties, nulls, empty inputs, ledgers, retrieval and streams."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -161,6 +162,17 @@ def test_fixes_by_shortened_names(spark):
     assert got == {"ann_lee": ("Ann_Lee", 0, 1), "Anm_Lee": ("Ann_Lee", 1, 1), "Ann_Le": ("Ann_Lee", 1, 2), "Boo": ("Bo", 1, 1), "Violet_Evergardne": ("Violet_Evergarden", 2, 1), "Voilet": ("violet", 2, 1), "Bo.md": ("Bo", 0, 1), "": ("Bo", 2, 1)}
 
 
+def test_shortened_names_are_not_broadcast(spark):
+    """Shortened names are 150 times the names, which Spark doesn't foresee; and targets that are names aren't shortened."""
+    names = spark.range(300).select(F.concat(F.lit("Name_"), F.substring(F.md5(F.col("id").cast("string")), 1, 12)).alias("name"))
+    links = names.select(F.lit("p").alias("path"), F.lit(1).alias("line"), F.upper("name").alias("target"))
+    plan = X.fix_plan(links, names)
+    rows = plan.collect()
+    assert len(rows) == 300 and all(x.distance == 0 and x.n_names == 1 for x in rows)
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert {x.partition("Join")[0] for x in re.findall(r"\w+Join(?:\(skew=true\))? \[key#", final)} == {"SortMerge"}
+
+
 def test_streams_compose(spark, tmp_path):
     """A note stream feeds the parser batch by batch; the keyed state of a ledger equals the batch operators over all files."""
     from lodestar.sources import notes as N
