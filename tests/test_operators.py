@@ -250,3 +250,27 @@ def test_approximate_neighbours(spark):
     assert [x.key for x in got] == [x.key for x in want] and all(abs(a.score - b.score) < 1e-9 for a, b in zip(got, want))
     empty = V.build(rows.limit(0), shared_folder(spark), "key", "vector")
     assert len(empty.cells) == 1
+
+
+def test_neighbours_of_vectors_that_lie_anywhere(spark):
+    """Without clusters most cells hold neighbours: the index finds out how many to look at. Of many equal vectors the first count."""
+    import numpy as np
+
+    from lodestar.functions.layout import shared_folder
+    from lodestar.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    data = [(k, rng.normal(size=64).tolist()) for k in range(4000)]
+    data += [(5000 + k, data[0][1]) for k in range(500)] + [(9999, None)]
+    rows = spark.createDataFrame(data, "key long, vector array<double>").repartition(3)
+    queries = rows.where("key % 50 = 0 and key < 4000").withColumnRenamed("key", "query")
+    path = shared_folder(spark)
+    model = V.build(rows, path, "key", "vector")
+    found = V.search(spark, path, model, queries)
+    total = V.recall(found, V.exhaustive(rows, queries)).first()
+    assert total.wanted == 12 * total.queries == 12 * 80 and total.met >= 0.95 * total.wanted
+    assert [x.key for x in found.where("query = 0").orderBy("rank").collect()] == [0, *range(5000, 5011)]
+    # vectors in clusters need few cells; rows without a key are in no list
+    centres = rng.normal(size=(40, 16))
+    near = spark.createDataFrame([(k, (centres[k % 40] + 0.05 * rng.normal(size=16)).tolist()) for k in range(4000)] + [(None, centres[0].tolist())], "key long, vector array<double>")
+    assert V.build(near, shared_folder(spark), "key", "vector").probes < 20
