@@ -1043,3 +1043,15 @@ def test_slots_keep_all_that_join(spark, monkeypatch, slots):
     assert found.columns == rows.columns and found.count() == found.distinct().count() == (100 if slots == 1 else found.count())
     assert {r.id for r in found.collect()} >= {k for k in range(-50, 50) if k % 9 == 0}
     assert SH.on_slots(rows, some.limit(0), "hash").count() == 0
+
+
+def test_toxicity_takes_repeated_ids_once(spark):
+    """Where ids repeat, tasks don't send all copies of the sample's texts: 1.5 GB here, more than a driver accepts."""
+    from pyspark.sql import functions as F
+
+    ids = [k for k in range(40) if T.crc_remainder(k) != 1][:10]
+    at = F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % 10 + 1).cast("int"))
+    docs = spark.range(0, 48_000, 1, 8).select(at.cast("long").alias("doc_id"), F.concat(F.lit("t"), at.cast("string"), F.expr("repeat(' ab cd ef', 3600)")).alias("text"))
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(ids)], "doc_id long, toxic int")
+    texts, got = T.training_rows(docs, labels)
+    assert [x.split()[0].decode() for x in texts] == [f"t{ids[0]}"] * 4800 + [f"t{ids[1]}"] * 1200 and got.tolist() == [0] * 4800 + [1] * 1200
